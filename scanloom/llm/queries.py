@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import decontaminate, packing, sharding, token_table, url_filter
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
+    "op5_token_table": token_table.query,
     "op6_url_filter": url_filter.query,
+    "op7_packing": packing.query,
     "op9_sharding": sharding.query,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
