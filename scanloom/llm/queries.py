@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, token_table, url_filter
+from . import decontaminate, jaccard_join, packing, sharding, token_table, url_filter
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.query,
     "op3_decontaminate": decontaminate.query,
     "op5_token_table": token_table.query,
     "op6_url_filter": url_filter.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard_join": jaccard_join.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op9_sharding": sharding.ORACLE,
