@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, sharding, token_table, url_filter
+from . import decontaminate, jaccard_join, packing, sharding, suffix_dedup, token_table, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_token_table": token_table.query,
     "op6_url_filter": url_filter.query,
     "op7_packing": packing.query,
