@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, sharding, suffix_dedup, token_table, url_filter
+from . import decontaminate, jaccard_join, language_id, packing, sharding, suffix_dedup, token_table, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
+    "op2_language_id": language_id.query,
     "op3_decontaminate": decontaminate.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op5_token_table": token_table.query,
