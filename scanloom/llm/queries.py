@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, packing, sharding, suffix_dedup, token_table, url_filter
+from . import decontaminate, jaccard_join, language_id, metric_join, packing, sharding, suffix_dedup, token_table, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_table": token_table.query,
     "op6_url_filter": url_filter.query,
     "op7_packing": packing.query,
+    "op8_metric_join": metric_join.query,
     "op9_sharding": sharding.query,
 }
 
@@ -19,5 +20,6 @@ ORACLES = {
     "op1_jaccard_join": jaccard_join.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op8_metric_join": metric_join.ORACLE,
     "op9_sharding": sharding.ORACLE,
 }
