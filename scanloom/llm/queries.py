@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, metric_join, packing, sharding, suffix_dedup, token_table, url_filter
+from . import decontaminate, html_text, jaccard_join, language_id, metric_join, packing, sharding, suffix_dedup, token_table, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_packing": packing.query,
     "op8_metric_join": metric_join.query,
     "op9_sharding": sharding.query,
+    "op10_html_text": html_text.query,
 }
 
 ORACLES = {

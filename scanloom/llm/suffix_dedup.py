@@ -244,19 +244,24 @@ def repeated_intervals(docs: DataFrame, least: int) -> DataFrame:
             if doc:
                 yield batch_of(anchor=pa.array(anchor, pa.int64()), deal=pa.array(deal, pa.int64()), doc_id=pa.array(doc, pa.int64()), first=pa.array(first, pa.int64()), data=pa.array(data, pa.binary()))
 
-    # a left join, here and where the bytes are removed, so that both read the same shuffle of the texts
-    texts = docs.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted").mapInArrow(read, "anchor long, deal long, doc_id long, first long, data binary")
+    # a left join of the same columns, here and where the bytes are removed, so that both read one shuffle of the texts
+    texts = docs.join(wanted, "doc_id", "left").select(*docs.columns, "wanted").mapInArrow(read, "anchor long, deal long, doc_id long, first long, data binary")
     return whole.union(earlier_windows(texts, least))
 
 
-def with_kept(docs: DataFrame, least: int, carry_text: bool) -> DataFrame:
-    intervals = repeated_intervals(docs, least)
-    by_doc = intervals.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
+REPORT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def with_kept(docs: DataFrame, least: int, carry: bool) -> DataFrame:
+    """``docs(doc_id, text, ...)`` to the report on each row, and with ``carry`` also to its other columns and the text ``kept``."""
+    by_doc = repeated_intervals(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
 
     def run(batches):
         for batch in row_groups(batches, "text"):
             rows = []
-            for data, cut in zip(byte_rows(batch.column("text")), batch.column("cut").to_pylist(), strict=True):
+            missing = batch.column("text").is_null().to_pylist()
+            for data, cut, null in zip(byte_rows(batch.column("text")), batch.column("cut").to_pylist(), missing, strict=True):
                 change = np.zeros(len(data) + 1, np.int32)
                 for x in cut or ():
                     change[min(x["start"], len(data))] += 1
@@ -264,25 +269,37 @@ def with_kept(docs: DataFrame, least: int, carry_text: bool) -> DataFrame:
                 gone = np.cumsum(change[:-1]) > 0
                 spans = int(gone[:1].sum()) + int((np.diff(gone.view(np.int8)) == 1).sum())
                 kept = data[~gone].tobytes()
-                rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if carry_text else None))
+                rows.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if carry and not null else None))
             n, removed, spans, sha, kept = zip(*rows, strict=True)
-            yield batch_of(doc_id=batch.column("doc_id"), n_bytes=pa.array(n, pa.int64()), n_removed=pa.array(removed, pa.int64()), n_spans=pa.array(spans, pa.int64()), kept_sha256=pa.array(sha, pa.string()), kept=pa.array(kept, pa.string()))
+            report = {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            more = {c: batch.column(c) for c in others} | {"kept": pa.array(kept, pa.string())} if carry else {}
+            yield batch_of(doc_id=batch.column("doc_id"), **report, **more)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    return docs.join(by_doc, "doc_id", "left").select("doc_id", "text", "cut").mapInArrow(run, schema)
+    types = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long", REPORT, *(f"`{c}` {types[c]}" for c in others), *["kept string"] * carry])
+    return docs.join(by_doc, "doc_id", "left").select(*docs.columns, "cut").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the text ``kept``.
+def repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Texts are UTF-8 bytes, null is empty; texts shorter than ``least`` have no window and stay whole. Strings are judged on
-    the input; a cut inside a character leaves replacement characters in ``kept`` (the digest is over the bytes).
-    Rows that share a ``doc_id`` must share a text: they are one document, and come out each. Rows without a
-    ``doc_id`` come before and after nothing: they stay whole. An empty table gives an empty result.
+    the input. Rows that share a ``doc_id`` must share a text: they are one document, and come out each. Rows
+    without a ``doc_id`` come before and after nothing: they stay whole. An empty table gives an empty result.
+    """
+    return with_kept(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), least, carry=False)
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with what is kept of each text; all rows and other columns as they are, null texts null.
+
+    Where a cut falls inside a character, what is left of the character goes too.
     """
-    return with_kept(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), least, carry_text=True)
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"))
+    kept = with_kept(whole, least, carry=True)
+    return kept.select(*[F.col("kept").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_kept(docs, LEAST, carry_text=False).drop("kept")
+    return repeats(docs)
