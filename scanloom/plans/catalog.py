@@ -314,7 +314,7 @@ def trajectory_crossing(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT event_type, (epoch_us(ts) // 86400000000)::BIGINT * 86400 AS t, round(avg(value), 4) AS v FROM events GROUP BY ALL),
+WITH k AS (SELECT event_type, (epoch_us(ts) // 86400000000)::BIGINT * 86400 AS t, sum(round(value * 10000)::BIGINT)::DOUBLE / count(*) / 10000 AS v FROM events GROUP BY ALL),
 s AS (SELECT event_id, event_type, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events),
 a AS (SELECT s.*, k.t AS t0, k.v AS v0 FROM s ASOF LEFT JOIN k ON s.event_type = k.event_type AND s.t >= k.t),
 b AS (SELECT a.*, k.t AS t1, k.v AS v1 FROM a ASOF LEFT JOIN k ON a.event_type = k.event_type AND a.t <= k.t)
@@ -322,7 +322,7 @@ SELECT event_id, floor(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 T
 """)
 def time_interpolation(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    knots = events.groupBy("event_type", (R.cell(seconds("ts"), 86400e6) * 86400).cast("double").alias("t")).agg(F.round(F.avg("value"), 4).alias("v"))
+    knots = events.groupBy("event_type", (R.cell(seconds("ts"), 86400e6) * 86400).cast("double").alias("t")).agg((F.sum(F.round(F.col("value") * 10000).cast("long")) / F.count("*") / 10000).alias("v"))
     samples = events.select("event_id", "event_type", (seconds("ts") / 1e6).alias("t"))
     return R.interpolated(samples, knots, "t", "v", ("event_type",)).select("event_id", (F.floor(F.col("v") * 10000 + 0.5) / 10000).alias("v"))
 
