@@ -1,80 +1,6 @@
-"""What several operators of this subpackage need: the shared folder, checkpoints and components."""
+"""What several operators of this subpackage take from the library."""
 
-from __future__ import annotations
+from ..operators.graph import connected_components
+from ..storage import forget, fresh_path, saved, shared_dir
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is one chosen here.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not named:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_dir.get() if set_dir.isDefined() else "file:///tmp/scanloom-shared"
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/scanloom/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back: cuts the lineage, survives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a DataFrame that ``saved`` returned, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        if "/scanloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def connected_components(edges: DataFrame, name: str) -> DataFrame:
-    """``edges(a, b)`` of longs to ``(node, component)``, component being the smallest node reachable.
-
-    Alternating large-star and small-star steps: each replaces the edges of a node by edges to the smallest
-    neighbour, so a star of any size is one aggregated minimum per node and no neighbour list is ever
-    gathered. Nodes without edges aren't returned.
-    """
-    spark = edges.sparkSession
-    now = saved(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
-    before = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: every larger neighbour of u goes to the least of u's neighbourhood
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # small star: the smaller neighbours of u, and u itself, go to the least of them
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        after = saved(small, name)
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None:
-            forget(spark, now)
-        now = after
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
+__all__ = ["connected_components", "forget", "fresh_path", "saved", "shared_dir"]
