@@ -7,10 +7,11 @@ prefix only. An index list holds its sets by size and each set's position of the
 * index-level skipping: within a list, a set meets only the run of sizes that can reach the similarity, and of
   those only the ones whose positions, and whose parity sketches, leave room for enough common shingles;
 * answer-level skipping: in a first round each list compares its sets with a leader only. A set that links
-  to its leader takes over the leader's component, so in the second round a list compares only sets of different
-  components, and lists that lie in one component are skipped whole.
+  to its leader takes over the leader's component; from then on a list compares only sets of different components,
+  and lists that lie in one component are skipped whole. Rounds in which each set meets its most similar one of
+  another component go on until they find no link; a last round then takes all pairs that are left.
 
-Both rounds verify their candidates on the whole texts. Nothing is capped: lists of any length are split over
+All rounds verify their candidates on the whole texts. Nothing is capped: lists of any length are split over
 tasks in blocks.
 """
 
@@ -22,15 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, byte_rows, row_groups
-from .shared import connected_components, forget, saved
+from .shared import connected_components, saved
 from .textcore import NOT_SPACE, gram_hashes, lowered, mix, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: The order puts at most so many shingles last, those that most prefixes hold. Any choice gives the same links.
-LAST_SHINGLES, LAST_FROM = 1 << 18, 16
-SKETCH_WORDS = 8
+LAST_SHINGLES, LAST_FROM = 1 << 20, 3
+SKETCH_WORDS = 32
 #: An index list of more sets than this is split into blocks, and pairs of blocks are separate groups.
 BLOCK = 4096
+#: An index list that a task holds at once while entries that cannot link are dropped.
+LIST = 1 << 16
+#: Candidate pairs that a task holds before it gives them away without their repetitions.
+PAIRS = 1 << 20
 #: Up to so many identifiers a semi-join of documents is broadcast (8 MB); beyond, it is a shuffled join.
 BROADCAST_IDS = 1_000_000
 
@@ -56,8 +61,8 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def sketch_of(grams: np.ndarray) -> bytes:
-    """Parities of the set over 512 cells: differing parities never outnumber differing shingles."""
-    cells = np.bincount((mix(grams) >> np.uint64(55)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """Parities of the set over 2,048 cells: differing parities never outnumber differing shingles."""
+    cells = np.bincount((mix(grams) >> np.uint64(53)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
@@ -84,8 +89,8 @@ def features(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def last_shingles(found: DataFrame) -> np.ndarray:
     """Shingles that go last in the order, the most frequent at the end: a bounded table, so it may be broadcast."""
     counts = found.select(F.explode("prefix").alias("gram")).groupBy("gram").count().where(F.col("count") >= LAST_FROM)
-    rows = counts.orderBy(F.desc("count"), "gram").limit(LAST_SHINGLES).toPandas()
-    return rows["gram"].to_numpy(np.int64)[::-1].view(np.uint64)
+    rows = counts.orderBy(F.desc("count"), "gram").limit(LAST_SHINGLES).select("gram").toArrow()
+    return rows.column("gram").to_numpy()[::-1].view(np.uint64)
 
 
 def index_entries(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -126,127 +131,214 @@ def index_entries(docs: DataFrame, last: np.ndarray, words: int, percent: int) -
     return docs.select("text").mapInArrow(run, "gram long, node long, n int, pos int")
 
 
+def complete_groups(batches, keys: int, most: int | None = None):
+    """Sorted batches as tables of whole groups by the first ``keys`` columns, with the groups' bounds.
+
+    With ``most``, a group that grows beyond so many rows is passed on in pieces, each as ``(table, None)``.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]).combine_chunks() if held is not None and len(held) else table
+        columns = [table.column(i).to_numpy() for i in range(keys)]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1
+        if len(change):
+            yield table.slice(0, change[-1]), np.concatenate(([0], change))
+            held = table.slice(change[-1])
+        else:
+            held = table
+        if most is not None and len(held) > most:
+            yield held, None
+            held = held.slice(len(held))
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def reach(n: np.ndarray, pos: np.ndarray, a, b, percent: int) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` of a list can link: as far as sizes and positions say, if this shingle is the first they share."""
+    room = np.minimum(n[a] - pos[a], n[b] - pos[b])
+    return room >= needed(n[a], n[b], percent)
+
+
+def within(sketch: np.ndarray, n: np.ndarray, a, b, percent: int) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` can link as far as their sketches say: parities that differ are shingles that differ."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 65536):
+        x, y = a[at : at + 65536], b[at : at + 65536]
+        most = n[x] + n[y] - 2 * needed(n[x], n[y], percent)
+        differ = np.bitwise_count(sketch[x, :8] ^ sketch[y, :8]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(differ <= most)
+        x, y = x[near], y[near]
+        differ = differ[near] + np.bitwise_count(sketch[x, 8:] ^ sketch[y, 8:]).sum(axis=1, dtype=np.int64)
+        out[at + near[differ <= most[near]]] = True
+    return out
+
+
+def linkable(gram: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, sketch: np.ndarray | None = None) -> np.ndarray:
+    """Rows of whole lists, each sorted by size, that can link with another row of their list.
+
+    Rows are compared with neighbours at a growing distance; lists that have ended drop out, and so do sizes out of reach.
+    """
+    fits = np.zeros(len(gram), bool)
+    open_, step = np.arange(len(gram)), 1
+    while len(open_):
+        open_ = open_[open_ + step < len(gram)]
+        open_ = open_[(gram[open_ + step] == gram[open_]) & (percent * n[open_ + step] <= 100 * n[open_])]
+        linked = open_[reach(n, pos, open_, open_ + step, percent)]
+        if sketch is not None:
+            linked = linked[within(sketch, n, linked, linked + step, percent)]
+        fits[linked] = fits[linked + step] = True
+        step += 1
+    return fits
+
+
 def shared_entries(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries of lists with several sets, each with its leader if the two may link.
+    """Entries that, by sizes and positions, can link with another of their list, with the list's first set as its head.
 
-    A list comes by size; its first set leads until sizes are out of its reach, then the next set leads.
-    The stream keeps one row and one leader, however long a list is.
+    Lists that are too long to hold are passed on whole, piece by piece.
     """
 
     def run(batches):
-        held = None
-        before = None  # the row before the held one
-        leader = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
-            if held is not None:
-                cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
-            out, before, leader = lists_of(cols, before, leader, percent)
-            held = [c[-1:] for c in cols]
-            if out is not None:
-                yield out
-        if held is not None:
-            ended = [np.concatenate((h, [x])) for h, x in zip(held, (~held[0][0], 0, 0, 0), strict=True)]  # a row of another list
-            out, _, _ = lists_of(ended, before, leader, percent)
-            if out is not None:
-                yield out
+        last = None
+        for table, bounds in complete_groups(batches, 1, LIST):
+            gram, node, n, pos = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+            keep = np.ones(len(gram), bool)
+            keep[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])  # one entry for a set
+            gram, node, n, pos = gram[keep], node[keep], n[keep], pos[keep]
+            rows = np.arange(len(gram)) if bounds is None else np.flatnonzero(linkable(gram, n, pos, percent))
+            if not len(rows):
+                continue
+            gram, node = gram[rows], node[rows]
+            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            head = np.repeat(node[first], np.diff(np.concatenate((first, [len(gram)]))))
+            if last is not None and last[0] == gram[0]:  # a list that goes on
+                head[gram == gram[0]] = last[1]
+            last = (gram[-1], head[-1])
+            yield batch_of(gram=gram, node=node, n=n[rows].astype(np.int32), pos=pos[rows].astype(np.int32), head=head)
 
     ordered = entries.repartition("gram").sortWithinPartitions("gram", "n", "node", "pos")
-    return ordered.mapInArrow(run, "gram long, node long, n int, pos int, leader long")
-
-
-def lists_of(cols: list[np.ndarray], before, leader, percent: int):
-    """Works on all rows but the last, whose successor isn't known yet."""
-    gram, node, n, pos = cols
-    last = len(gram) - 1
-    if last < 1:
-        return None, before, leader
-    as_before = np.concatenate(([before is not None and before[0] == gram[0]], gram[1:] == gram[:-1]))
-    repeated = np.concatenate(([before is not None and before == (gram[0], node[0])], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])))
-    as_next = gram[:-1] == gram[1:]
-    rows = np.flatnonzero((as_before[:-1] | as_next) & ~repeated[:-1])
-    leaders = []
-    for g, a, m, p in zip(gram[rows].tolist(), node[rows].tolist(), n[rows].tolist(), pos[rows].tolist(), strict=True):
-        if leader is None or leader[0] != g or 100 * leader[2] < percent * m:
-            leader = (g, a, m, p)
-            leaders.append(None)
-        else:
-            fits = min(m - p, leader[2] - leader[3]) >= needed(m, leader[2], percent)
-            leaders.append(leader[1] if fits and leader[1] != a else None)
-    out = batch_of(gram=gram[rows], node=node[rows], n=n[rows].astype(np.int32), pos=pos[rows].astype(np.int32), leader=pa.array(leaders, pa.int64())) if len(rows) else None
-    return out, (gram[last - 1], node[last - 1]), leader
+    return ordered.mapInArrow(run, "gram long, node long, n int, pos int, head long")
+
+
+def led_entries(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries whose sketches, too, leave a link possible, each with the leader of its list that it may link with.
+
+    A list's first set leads until sizes are out of its reach, then the next one does. Lists of more than ``BLOCK`` sets
+    stay whole here; their pairs are weighed block by block later.
+    """
+
+    def run(batches):
+        leader = None
+        for table, bounds in complete_groups(batches, 1, LIST):
+            gram, node, n, pos = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+            sketch = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            fits = np.ones(len(gram), bool)
+            if bounds is not None:
+                short = np.repeat(np.diff(bounds) <= BLOCK, np.diff(bounds))
+                some = np.flatnonzero(short)
+                fits[some] = linkable(gram[some], n[some], pos[some], percent, sketch[some])
+            rows = np.flatnonzero(fits)
+            leaders = []
+            for i, g, m, p in zip(rows.tolist(), gram[rows].tolist(), n[rows].tolist(), pos[rows].tolist(), strict=True):
+                if leader is None or leader[0] != g or 100 * leader[2] < percent * m:
+                    leader = (g, int(node[i]), m, p, sketch[i])
+                    leaders.append(None)
+                    continue
+                need = needed(m, leader[2], percent)
+                near = min(m - p, leader[2] - leader[3]) >= need and int(np.bitwise_count(sketch[i] ^ leader[4]).sum()) <= m + leader[2] - 2 * need
+                leaders.append(leader[1] if near else None)
+            if len(rows):
+                yield batch_of(**{c: table.column(c).combine_chunks().take(pa.array(rows)) for c in ("gram", "node", "n", "pos", "head", "sketch")}, leader=pa.array(leaders, pa.int64()))
+
+    ordered = entries.select("gram", "node", "n", "pos", "head", "sketch").repartition("gram").sortWithinPartitions("gram", "n", "node")
+    return ordered.mapInArrow(run, "gram long, node long, n int, pos int, head long, sketch binary, leader long")
 
 
-def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of different components, from lists with ``node, n, pos, label, sketch``, that may link."""
+def cross_pairs(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of sets of different components, from lists with ``node, n, pos, head, label, sketch``, that may link.
+
+    With ``nearest``, only for each set of a list the pair whose sketches differ least. Lists that begin with
+    the same set come together, so that a pair that many lists hold is given once. Lists of more than ``BLOCK``
+    sets are dealt as pairs of blocks.
+    """
     long_lists = entries.groupBy("gram").count().where(F.col("count") > BLOCK).select("gram", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         entries.join(long_lists, "gram", "left")
+        .withColumn("head", F.when(F.col("blocks").isNull(), F.col("head")).otherwise(F.col("gram")))
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("first", F.least("mine", "other"))
         .withColumn("second", F.greatest("mine", "other"))
-        .select("gram", "first", "second", "mine", "n", "node", "pos", "label", "sketch")
+        .select("head", "gram", "first", "second", "mine", "n", "node", "pos", "label", "sketch")
     )
 
-    def groups(batches):
-        """Arrays of one group after the other; a group is at most two blocks."""
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            keys = [table.column(i).to_numpy() for i in range(3)]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            if len(change):
-                yield table.slice(0, change[-1]), np.concatenate(([0], change))
-                held = table.slice(change[-1])
-            else:
-                held = table
-        if held is not None and len(held):
-            yield held, np.array([0, len(held)])
-
     def run(batches):
-        for table, bounds in groups(batches):
-            first, second, mine, n, node, pos, label = [table.column(i).to_numpy().astype(np.int64) for i in range(1, 8)]
-            sketch = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            left, right = [], []
+        given, held, head = [], 0, None
+
+        def distinct():
+            pairs = np.unique(np.concatenate(given), axis=0)
+            return batch_of(a=pairs[:, 0].copy(), b=pairs[:, 1].copy())
+
+        for table, bounds in complete_groups(batches, 4):
+            heads = table.column(0).to_numpy()
+            first, second, mine, n, node, pos, label = [table.column(i).to_numpy().astype(np.int64) for i in range(2, 9)]
+            sketch = np.frombuffer(b"".join(table.column(9).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
             for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if given and (heads[b] != head or held > PAIRS):
+                    yield distinct()
+                    given, held = [], 0
+                head = heads[b]
                 if e - b < 2 or (label[b:e] == label[b]).all():
                     continue
                 blocks = first[b] != second[b]
                 ends = b + np.searchsorted(n[b:e], n[b:e] * 100 // percent, "right")
+                least, partner = np.full(e - b, 1 << 30), np.zeros(e - b, np.int64)
                 for i in range(b, e - 1):
                     j = slice(i + 1, ends[i - b])
                     fits = label[j] != label[i]
                     if blocks:
                         fits &= mine[j] != mine[i]
-                    if not fits.any():
-                        continue
                     k = np.flatnonzero(fits) + i + 1
-                    need = needed(n[k], n[i], percent)
-                    k = k[np.minimum(n[k] - pos[k], n[i] - pos[i]) >= need]
-                    if len(k):
-                        need = needed(n[k], n[i], percent)
-                        differ = np.bitwise_count(sketch[k] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                        k = k[differ <= n[k] + n[i] - 2 * need]
-                    if len(k):
-                        left.append(np.minimum(node[k], node[i]))
-                        right.append(np.maximum(node[k], node[i]))
-            if left:
-                pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0)
-                yield batch_of(a=pairs[:, 0].copy(), b=pairs[:, 1].copy())
-
-    ordered = dealt.repartition("gram", "first", "second").sortWithinPartitions("gram", "first", "second", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` of nodes whose sets link, judged on whole texts."""
-    pairs = saved(pairs, f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
+                    k = k[reach(n, pos, k, i, percent)]
+                    if not len(k):
+                        continue
+                    most = n[k] + n[i] - 2 * needed(n[k], n[i], percent)
+                    differ = np.bitwise_count(sketch[k, :8] ^ sketch[i, :8]).sum(axis=1, dtype=np.int64)
+                    k, most, differ = k[differ <= most], most[differ <= most], differ[differ <= most]
+                    differ += np.bitwise_count(sketch[k, 8:] ^ sketch[i, 8:]).sum(axis=1, dtype=np.int64)
+                    k, differ = k[differ <= most], differ[differ <= most]
+                    if not len(k):
+                        continue
+                    if nearest:
+                        best = int(differ.argmin())
+                        if differ[best] < least[i - b]:
+                            least[i - b], partner[i - b] = differ[best], k[best]
+                        better = differ < least[k - b]
+                        least[k[better] - b], partner[k[better] - b] = differ[better], i
+                    else:
+                        given.append(np.stack((np.minimum(node[k], node[i]), np.maximum(node[k], node[i])), axis=1))
+                        held += len(k)
+                if nearest and len(k := np.flatnonzero(least < 1 << 30)):
+                    one, two = node[k + b], node[partner[k]]
+                    given.append(np.stack((np.minimum(one, two), np.maximum(one, two)), axis=1))
+                    held += len(k)
+        if given:
+            yield distinct()
+
+    order = ["head", "gram", "first", "second"]
+    return dealt.repartition("head", "first", "second").sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def texts_of(entries: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of a document for each set that has an entry."""
+    ids = saved(entries.select("node").distinct().join(nodes.select("node", "rep"), "node"), "candidates")
     small = ids.count() <= BROADCAST_IDS
-    texts = saved(docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["rep"]).select("node", "text"), f"{name}-texts")
+    return saved(docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["rep"]).select("node", "text"), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` of nodes whose sets link, judged on whole texts."""
     # the leaders, which many pairs share, come last: their texts aren't shuffled once for each pair
     joined = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
@@ -270,9 +362,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
                     right.append(b)
             yield batch_of(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
 
-    links = saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), f"{name}-links")
-    forget(docs.sparkSession, texts)
-    return links
+    return saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,19 +375,26 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     one with a probability of about n^2 / 2^65.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spark = docs.sparkSession
     found = saved(features(docs, words, percent), "features")
     last = last_shingles(found)
-    entries = saved(shared_entries(index_entries(docs, last, words, percent), percent), "entries")
     nodes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-
-    star = entries.where("leader is not null").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    first = verified(star, nodes, docs, words, percent, "star")
-    label = connected_components(first, "star-components").withColumnsRenamed({"component": "label"})
-    labelled = entries.drop("leader").join(nodes.select("node", "sketch"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    second = verified(cross_pairs(labelled, percent), nodes, docs, words, percent, "cross")
-
-    group = connected_components(first.union(second), "components")
+    entries = saved(shared_entries(index_entries(docs, last, words, percent), percent), "entries")
+    led = saved(led_entries(entries.join(nodes.select("node", "sketch"), "node"), percent), "led-entries")
+    texts = texts_of(led, nodes, docs)
+
+    star = led.where("leader IS NOT NULL").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    links = verified(star, texts, words, percent, "star")
+    while True:
+        group = connected_components(links, "components")
+        labels = group.withColumnsRenamed({"component": "label"})
+        labelled = led.drop("leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        more = verified(cross_pairs(labelled, percent, nearest=True), texts, words, percent, "nearest")
+        if more.isEmpty():
+            break
+        links = group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    rest = verified(cross_pairs(labelled, percent, nearest=False), texts, words, percent, "rest")
+    if not rest.isEmpty():
+        group = connected_components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "components")
     named = nodes.select("node", "rep").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = named.join(least, "component").select("node", "component_id")
