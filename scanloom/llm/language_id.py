@@ -81,7 +81,7 @@ def learn(counts: list[tuple[str, int, str, int]]) -> Model:
             matrix[table[g], place[lang]] += k
         total = matrix.sum(axis=0)
         tables.append(table)
-        rows.append(np.log((matrix + 0.5) / (total + 0.5 * max(1, len(table)))))
+        rows.append(np.log((matrix + 0.5) / (total + 0.5 * (len(table) + 1))))
     return Model(languages, tables, rows)
 
 
@@ -176,14 +176,15 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: In a corpus, documents whose language is sure to less than this are rejected, like those without any letter.
-LEAST_SCORE = 0.5
+def keep_identified(docs: DataFrame, model: Model, least: float | None = None, text: str = "text") -> DataFrame:
+    """``docs`` without those that are ``und`` or score ``least`` at most; its columns unchanged.
 
-
-def keep_identified(docs: DataFrame, model: Model, least: float = LEAST_SCORE, text: str = "text") -> DataFrame:
-    """``docs`` without those that are ``und`` or below ``least``; its columns unchanged."""
+    By default documents go only if nothing in them says which language they are in: a score no better than an even guess.
+    """
+    if least is None:
+        least = 1 / len(model.languages) * (1 + 1e-9) if len(model.languages) > 1 else 0.0
     renamed = docs.withColumnsRenamed({"lang_pred": "_own_lang_pred", "score": "_own_score"})
-    kept = predict(renamed, model, text).where((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    kept = predict(renamed, model, text).where((F.col("lang_pred") != NONE) & (F.col("score") > least))
     return kept.drop("lang_pred", "score").withColumnsRenamed({"_own_lang_pred": "lang_pred", "_own_score": "score"}).select(*docs.columns)
 
 
