@@ -1,19 +1,24 @@
 """Encoding whole texts with a public tokenizer, word by word through a bounded cache.
 
-A byte-level BPE vocabulary cuts texts before it merges, and always between a character that isn't white
-space and white space that follows. So a text is encoded piece by piece, cut there, and each piece only
-once as long as the cache has it. Texts with white space other than blanks, tabs and line ends are encoded whole.
+A byte-level BPE vocabulary cuts texts before it merges: always between a character that isn't white space and
+white space that follows, and always between a letter and a following mark other than an apostrophe. So a
+text is encoded piece by piece, cut there, and each piece only once as long as the cache has it. Texts with
+white space other than blanks, tabs and line ends are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from functools import cache
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 
-PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Letters before a blank or a mark; or all up to the next white space; or white space at the end.
+PIECE = re.compile(rf" ?[{LETTERS}]+(?=[ \t\r\n.,;:!?()|#$%&*]|\Z)|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -23,28 +28,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which outlives tasks: the vocabulary is loaded once, and words stay known."""
+    return Encoder(path)
+
+
 class Encoder:
     """Texts to their ids as little-endian unsigned 32-bit integers. Null has no ids."""
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # names of special tokens in a text are ordinary text
+        self.tokenizer.model._resize_cache(0)  # the cache below is the larger one
         self.cached, self.cache = cached, {}
 
     def fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > self.cached:
-            self.cache.clear()
+        if len(self.cache) > self.cached:  # the older half goes
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
         cache, pieces = self.cache, []
         for t in texts:
             pieces.append(None if t and OTHER_SPACE.search(t) else PIECE.findall(t or ""))
-        new = list({p for found in pieces if found for p in found if p not in cache})
+        new = list(set().union(*[found for found in pieces if found]).difference(cache))
         cache.update(zip(new, self.fresh(new), strict=True))
         get = cache.__getitem__
         return [self.fresh([t])[0] if found is None else b"".join(map(get, found)) for t, found in zip(texts, pieces, strict=True)]

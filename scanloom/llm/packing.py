@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .arrow import batch_of, row_groups
-from .encoder import Encoder, default_tokenizer
+from .encoder import default_tokenizer, encoder
 
 WINDOW = 2048
 OPEN_WINDOWS = 1024
@@ -118,11 +118,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, key
     """
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        words = encoder(tokenizer)
         packer = Packer(window, first_sequence=TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
         for batch in row_groups(batches, "text", 1 << 20):
-            for k, ids in zip(batch.column("key").to_pylist(), encoder.encode_column(batch.column("text")), strict=True):
+            for k, ids in zip(batch.column("key").to_pylist(), words.encode_column(batch.column("text")), strict=True):
                 packer.add(k, np.frombuffer(ids + end, "<u4"))
             yield from packer.taken()
         packer.settle(end=True)

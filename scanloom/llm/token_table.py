@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, row_groups
-from .encoder import Encoder, default_tokenizer
+from .encoder import default_tokenizer, encoder
 from .shared import fresh_path, saved
 
 MAGIC = b"SLTOKTB1"
@@ -174,11 +174,12 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     """
 
     def write(batches):
-        encoder, context = Encoder(tokenizer), TaskContext.get()
+        context = TaskContext.get()
+        words = encoder(tokenizer)
         part, attempt = context.partitionId(), context.taskAttemptId()
         system, inner = pafs.FileSystem.from_uri(folder)
         system.create_dir(inner, recursive=True)
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
+        width = 2 if words.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
         writer, file, done = TableWriter(width), 0, []
 
         def close():
@@ -192,7 +193,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in row_groups(batches, "text", 1 << 20):
-            for k, ids in zip(batch.column("key").to_pylist(), encoder.encode_column(batch.column("text")), strict=True):
+            for k, ids in zip(batch.column("key").to_pylist(), words.encode_column(batch.column("text")), strict=True):
                 if k is None:
                     raise ValueError("a document without an identifier can't be filed")
                 writer.add(k, np.frombuffer(ids + end, "<u4"))
