@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import graph
+from ..operators import graph, reconstruction
 from ..operators import relational as R
 
 QUERIES: dict = {}
@@ -760,3 +760,111 @@ def streaming_session(spark, sf_dir):
     from ..streaming import chunks
 
     return chunks.sessions(table(spark, sf_dir, "events"), "2 hours").select("user_id", "start_us", "n")
+
+
+# -- around model outputs --------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT l_returnflag, l_suppkey, quantile_cont(l_extendedprice / l_quantity, 0.5) AS m FROM lineitem GROUP BY ALL),
+s AS (SELECT l_returnflag, quantile_cont(m, 0.5) AS scale, count(*) AS frames FROM e GROUP BY 1),
+d AS (SELECT l_returnflag, quantile_cont(abs(m - scale), 0.5) * 1.4826::DOUBLE AS spread FROM e JOIN s USING (l_returnflag) GROUP BY 1)
+SELECT l_returnflag, round(scale, 4) AS scale, frames::BIGINT AS frames, round(spread, 4) AS spread, round(sqrt((spread / scale) * (spread / scale) + 0.06::DOUBLE * 0.06::DOUBLE), 5) AS rel_sigma FROM s JOIN d USING (l_returnflag)
+""")
+def metric_ratio(spark, sf_dir):
+    ratios = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("ratio"))
+    found = reconstruction.metric_scale(ratios, ["l_returnflag"], "l_suppkey", "ratio")
+    return found.select("l_returnflag", F.round("scale", 4).alias("scale"), "frames", F.round("spread", 4).alias("spread"), F.round("rel_sigma", 5).alias("rel_sigma"))
+
+
+@query("""
+WITH m AS (SELECT a.s_suppkey AS pa, b.s_suppkey AS pb, a.s_nationkey AS ra, b.s_nationkey AS rb, (a.s_suppkey * b.s_suppkey) % 101 AS inliers
+  FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey % 5 = 0 AND b.s_suppkey % 5 = 0 WHERE a.s_nationkey <> b.s_nationkey AND (a.s_suppkey * b.s_suppkey) % 101 >= 40),
+o AS (SELECT least(ra, rb) AS room_a, greatest(ra, rb) AS room_b, CASE WHEN ra < rb THEN pa ELSE pb END AS photo_a, CASE WHEN ra < rb THEN pb ELSE pa END AS photo_b, inliers FROM m)
+SELECT room_a, room_b, photo_a, photo_b, inliers::BIGINT AS inliers FROM o QUALIFY row_number() OVER (PARTITION BY room_a, room_b ORDER BY inliers DESC, photo_a DESC, photo_b DESC) = 1
+""")
+def photo_room_links(spark, sf_dir):
+    """Photos are every fifth supplier (a capture has some tens), rooms nations; each unordered pair of photos once."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0")
+    a, b = s.select(F.col("s_suppkey").alias("photo_a"), F.col("s_nationkey").alias("room_a")), s.select(F.col("s_suppkey").alias("photo_b"), F.col("s_nationkey").alias("room_b"))
+    pairs = a.join(F.broadcast(b), F.col("photo_a") < F.col("photo_b")).withColumn("inliers", F.col("photo_a") * F.col("photo_b") % 101)
+    return reconstruction.best_links(pairs)
+
+
+@query(f"""
+WITH {EDGES_SQL}, p AS (SELECT DISTINCT l_quantity AS x, l_discount * 100 AS y FROM lineitem),
+i AS (SELECT x, y, polygon FROM p JOIN e ON (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 GROUP BY ALL HAVING count(*) % 2 = 1),
+d AS (SELECT i.x, i.y, polygon, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, (x1-x0)*(x1-x0) + (y1-y0)*(y1-y0) AS q FROM i JOIN e USING (polygon)),
+t AS (SELECT *, CASE WHEN q = 0 THEN 0 ELSE greatest(0, least(1, ((x - x0) * dx + (y - y0) * dy) / q)) END AS t FROM d)
+SELECT x, y, polygon, round(min(sqrt((x0 + t*dx - x)*(x0 + t*dx - x) + (y0 + t*dy - y)*(y0 + t*dy - y))), 6) AS distance FROM t GROUP BY ALL
+HAVING min(sqrt((x0 + t*dx - x)*(x0 + t*dx - x) + (y0 + t*dy - y)*(y0 + t*dy - y))) >= 1.25
+""")
+def inside_with_margin(spark, sf_dir):
+    places = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y")).distinct()
+    return reconstruction.inside_with_margin(places, polygon_table(spark), ["x", "y"], "x", "y", 1.25).withColumn("distance", F.round("distance", 6))
+
+
+@query("""
+WITH w AS (SELECT o_orderpriority AS room, o_orderkey AS i, (o_totalprice % 1000) / 100000 AS delta, (o_totalprice % 700) / 10000 AS off, o_orderstatus <> 'F' AS measured FROM orders WHERE o_orderkey % 10 = 0),
+n AS (SELECT *, coalesce(lag(measured) OVER o, last_value(measured) OVER (PARTITION BY room ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b,
+  coalesce(lead(measured) OVER o, first_value(measured) OVER o) AS a FROM w WINDOW o AS (PARTITION BY room ORDER BY i))
+SELECT CASE WHEN a AND b THEN 'both ends measured' WHEN a OR b THEN 'one end measured' ELSE 'no end measured' END AS ends, count(*)::BIGINT AS pairs, count(*) FILTER (WHERE abs(delta) <= 0.01::DOUBLE)::BIGINT AS passed,
+  list_sort(list(abs(delta)))[1 + (count(*) // 2)::INT] AS median, list_sort(list(abs(off)))[1 + (count(*) // 2)::INT] AS median_offset FROM n GROUP BY 1
+""")
+def repeat_decomposition(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    walls = o.select(F.lit(1).alias("pair"), F.col("o_orderpriority").alias("room"), F.col("o_orderkey").alias("i"), (F.col("o_totalprice") % 1000 / 100000).alias("delta"), (F.col("o_totalprice") % 700 / 10000).alias("offset_mismatch"), (F.col("o_orderstatus") != "F").alias("measured"))
+    return reconstruction.decomposition(walls)
+
+
+@query("SELECT event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 3")
+def top_detections(spark, sf_dir):
+    """The best few of each class."""
+    order = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
+    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(order)).where("r <= 3").select("event_id", "event_type", "value")
+
+
+@query("""
+SELECT p_partkey, greatest(round_even(p_size * (518.0::DOUBLE / greatest(p_size, p_retailprice)) / 14, 0) * 14, 14)::INT AS w, greatest(round_even(p_retailprice * (518.0::DOUBLE / greatest(p_size, p_retailprice)) / 14, 0) * 14, 14)::INT AS h FROM part
+""")
+def model_input_size(spark, sf_dir):
+    w, h = reconstruction.model_size(F.col("p_size"), F.col("p_retailprice"))
+    return table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+@query("""
+SELECT label, CASE WHEN abs(x) <= abs(y) AND y <= 0 THEN 0 WHEN abs(x) <= abs(y) THEN 2 WHEN x > 0 THEN 3 ELSE 1 END::INT AS turns FROM (
+  SELECT label, list_sort(list(embedding[4]::DOUBLE))[1 + (count(*) // 2)::INT] AS x, list_sort(list(embedding[5]::DOUBLE))[1 + (count(*) // 2)::INT] AS y FROM embeddings GROUP BY 1)
+""")
+def upright_rotation(spark, sf_dir):
+    return reconstruction.upright_turns(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("r")), ["label"])
+
+
+@query("""
+SELECT vec_id, CASE label % 4 WHEN 1 THEN [y0, 10 - x1, y1, 10 - x0] WHEN 2 THEN [20 - x1, 10 - y1, 20 - x0, 10 - y0] WHEN 3 THEN [20 - y1, x0, 20 - y0, x1] ELSE [x0, y0, x1, y1] END::VARCHAR AS box
+FROM (SELECT vec_id, label, vec_id % 7 AS x0, vec_id % 5 AS y0, vec_id % 7 + 3 AS x1, vec_id % 5 + 2 AS y1 FROM embeddings)
+""")
+def box_unrotate(spark, sf_dir):
+    v = F.col("vec_id")
+    box = F.array(v % 7, v % 5, v % 7 + 3, v % 5 + 2)
+    turned = G.unrotated_box(box, F.col("label"), F.lit(20).cast("long"), F.lit(10).cast("long"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", turned.cast("string").alias("box"))
+
+
+@query()
+def spaced_events(spark, sf_dir):
+    """Greedy exclusion in time, the best first; sequential by nature."""
+    from ..operators import matching
+
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (seconds("ts") / 1e6).alias("t"), "value")
+    return matching.spaced_rows(rows, ["user_id"], "t", "value", 86400.0)
+
+
+@query()
+def trajectory_error(spark, sf_dir):
+    """Similarity fits per label; tests recover a known similarity."""
+    from ..operators import compare
+
+    e = F.col("embedding")
+    pairs = table(spark, sf_dir, "embeddings").select("label", *[e[i].cast("double").alias(n) for i, n in enumerate(("ax", "ay", "az", "bx", "by_", "bz"))])
+    return compare.trajectory_errors(pairs, ["label"])
