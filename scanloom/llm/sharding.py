@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 HASH_BITS = 60
 STEP_BITS = 16
 
@@ -63,7 +65,8 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
             "_cell": F.shiftright("_hash", HASH_BITS - done - more).bitwiseAND((1 << more) - 1),
         })
         cells = placed.groupBy(F.col("_parent").alias("parent"), F.col("_cell").alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
-        directory = split_buckets(cells, done, limit).withColumnsRenamed({"parent": "_parent", "cell": "_cell", "depth": "shard_depth"})
+        # a row for each cell that documents are in: kept, so that later rounds don't work it out again
+        directory = saved(split_buckets(cells, done, limit), "directory").withColumnsRenamed({"parent": "_parent", "cell": "_cell", "depth": "shard_depth"})
         joined = placed.join(directory, ["_parent", "_cell"]).drop("_parent", "_cell")
         over = directory.where("shard_depth = -1").limit(1).count() > 0
         resolved.append(joined.where("shard_depth >= 0").withColumn("shard_part", F.lit(0).cast("long")))
