@@ -1,13 +1,16 @@
 """Benchmark decontamination: a hash set of test n-grams against the windows of training texts.
 
 The windows of all benchmark items are hashed into a sorted array that every task gets. Each text's windows
-are hashed and looked up there; every hit is verified word by word before it counts.
+are hashed and looked up there; every hit is verified word by word before it counts. A benchmark that is too large for
+that is worked through in slices, one broadcast after the other, and the hits of all slices are joined by document.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, byte_rows, row_groups
+from .shared import saved
 from .textcore import WORD_BYTE, as_bytes, gram_hashes, lowered, word_hashes
 
 WORDS = 10
-#: Benchmarks up to so many bytes of text are sent to every task; larger ones are worked through in slices of it.
+#: Benchmarks up to so many characters are sent to every task; larger ones are worked through in slices of it.
 SLICE_BYTES = 32 << 20
 
 
@@ -91,40 +95,84 @@ def slices(benchmark: DataFrame, item: str, text: str):
         yield rows
 
 
-def scan(docs: DataFrame, index_of: list, key: str, text: str, extra: list[str], remove: str | None = None) -> DataFrame:
-    """Hits of each document under the broadcast indexes; with ``remove``, also the text without the words hit."""
+def covered_words(n: int, begins: list[int], ends: list[int]) -> np.ndarray:
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, np.minimum(np.asarray(begins, np.int64), n), 1)
+    np.add.at(change, np.minimum(np.asarray(ends, np.int64), n), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], marked.view(np.int8), [0]))))
+    return edge[::2], edge[1::2]
+
+
+def slice_hits(docs: DataFrame, index, key: str, text: str) -> DataFrame:
+    """``(key, begins, ends, items)`` of the documents that a slice of the benchmark hits."""
+
+    def run(batches):
+        for batch in row_groups(batches, text):
+            keys, begins, ends, items = [], [], [], []
+            for k, data in zip(batch.column("_key").to_pylist(), byte_rows(batch.column(text)), strict=True):
+                hit, found = index.value.hits(*words_of(data))
+                if found:
+                    a, b = runs(hit)
+                    keys.append(k)
+                    begins.append(a.tolist())
+                    ends.append(b.tolist())
+                    items.append(sorted(found))
+            yield batch_of(_key=pa.array(keys, pa.string()), _begins=pa.array(begins, pa.list_(pa.int32())), _ends=pa.array(ends, pa.list_(pa.int32())), _items=pa.array(items, pa.list_(pa.string())))
+
+    return docs.select(F.col(key).cast("string").alias("_key"), text).mapInArrow(run, "_key string, _begins array<int>, _ends array<int>, _items array<string>")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, n: int, key: str, text: str, item: str, item_text: str, extra: list[str], remove: bool = False) -> DataFrame:
+    """``extra`` columns of each row with the judgement on it; with ``remove`` also the text without the words hit."""
+    spark = docs.sparkSession
+    parts = slices(benchmark, item, item_text)
+    first, second = next(parts, []), next(parts, None)
+    index = None
+    source = docs.select(*dict.fromkeys([*extra, text]))
+    if second is None:
+        index = spark.sparkContext.broadcast(GramIndex.build(first, n))
+    else:
+        found = []
+        for rows in chain([first, second], parts):
+            one = spark.sparkContext.broadcast(GramIndex.build(rows, n))
+            found.append(saved(slice_hits(docs, one, key, text), "slice-hits"))
+            one.destroy()
+        flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("_begins", "_ends", "_items")]
+        whole = reduce(DataFrame.union, found).groupBy("_key").agg(*flat)
+        source = source.withColumn("_key", docs[key].cast("string")).join(whole, "_key", "left")
 
     def run(batches):
-        indexes = [b.value for b in index_of]
         for batch in row_groups(batches, text):
             rows = []
-            for data in byte_rows(batch.column(text)):
+            given = None if index is not None else [batch.column(c).to_pylist() for c in ("_begins", "_ends", "_items")]
+            for i, data in enumerate(byte_rows(batch.column(text))):
                 low, starts, ends, hashes = words_of(data)
-                hit, items = np.zeros(len(hashes), bool), set()
-                for index in indexes:
-                    more, found = index.hits(low, starts, ends, hashes)
-                    hit |= more
-                    items |= found
-                said = ",".join(sorted(items))
+                if given is None:
+                    hit, items = index.value.hits(low, starts, ends, hashes)
+                else:
+                    hit, items = covered_words(len(hashes), given[0][i] or [], given[1][i] or []), set(given[2][i] or [])
                 clean = None
                 if remove and hit.any():
                     keep = np.ones(len(data), bool)
-                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                    for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    for a, b in zip(*runs(hit), strict=True):
                         keep[starts[a] : ends[b - 1]] = False
                     clean = data[keep].tobytes().decode("utf-8", "replace")
+                said = ",".join(sorted(items))
                 rows.append((len(hashes), int(hit.sum()), len(items), hashlib.sha256(said.encode()).hexdigest(), bool(hit.any()), clean))
             n_words, n_hit, n_items, sha, bad, clean = zip(*rows, strict=True)
             out = {c: batch.column(c) for c in extra}
             if remove:
-                whole = batch.column(text).to_pylist()
-                out[text] = pa.array([t if c is None else c for t, c in zip(whole, clean, strict=True)], pa.string())
+                out[text] = pa.array([t if c is None else c for t, c in zip(batch.column(text).to_pylist(), clean, strict=True)], pa.string())
             out |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(sha, pa.string()), "contaminated": pa.array(bad, pa.bool_())}
             yield batch_of(**out)
 
-    types = dict(docs.select(*extra).dtypes)
+    types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in extra), *([f"`{text}` string"] if remove else []), "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"])
-    return docs.select(*dict.fromkeys([*extra, text])).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -132,27 +180,21 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, key
 
     Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII. Null and empty texts have no words;
     items without words have no windows; items that repeat count once for each ``item_id``. An empty benchmark
-    hits nothing. A benchmark beyond ``SLICE_BYTES`` is split: each slice is its own broadcast.
+    hits nothing. Rows are judged each; with a benchmark beyond ``SLICE_BYTES``, rows that share a key must share a text.
     """
-    spark = docs.sparkSession
-    indexes = [spark.sparkContext.broadcast(GramIndex.build(rows, n)) for rows in slices(benchmark, item, item_text)]
-    return scan(docs, indexes, key, text, [key])
+    return judged(docs, benchmark, n, key, text, item, item_text, [key])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, mode: str = "documents", key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents (mode ``documents``) or without the words hit (mode ``spans``)."""
-    spark, columns = docs.sparkSession, docs.columns
-    own = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in columns if c in own})
-    indexes = [spark.sparkContext.broadcast(GramIndex.build(rows, n)) for rows in slices(benchmark, item, item_text)]
-    others = [c for c in renamed.columns if c != text]
-    if mode == "spans":
-        out = scan(renamed, indexes, key, text, others, remove="spans")
-    elif mode == "documents":
-        out = scan(renamed, indexes, key, text, renamed.columns).where(~F.col("contaminated"))
-    else:
+    if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
-    return out.select(*[F.col(f"_own_{c}" if c in own else c).alias(c) for c in columns])
+    own = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
+    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in own})
+    remove = mode == "spans"
+    out = judged(renamed, benchmark, n, key, text, item, item_text, [c for c in renamed.columns if not (remove and c == text)], remove)
+    kept = out if remove else out.where(~F.col("contaminated"))
+    return kept.select(*[F.col(f"_own_{c}" if c in own else c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
