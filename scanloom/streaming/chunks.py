@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from ..storage import fresh_path
 
 
+def instant(events: DataFrame) -> F.Column:
+    """The time column as a timestamp; left as it is where it is one, or it would lose its watermark."""
+    return F.col("ts") if dict(events.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp")
+
+
 def chunked(events: DataFrame, size: str = "4 hours") -> DataFrame:
     """Count and sum in micrometres for each user and tumbling window; for tables and streams alike."""
-    start = F.window(F.col("ts").cast("timestamp"), size)
+    start = F.window(instant(events), size)
     grouped = events.groupBy("user_id", start.alias("w")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 1_000_000).cast("long")).alias("s_um"))
     return grouped.select("user_id", F.unix_micros("w.start").alias("start_us"), "n", "s_um")
 
@@ -49,5 +54,5 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     """Runs of a user's events without a pause of ``gap``; for tables and streams alike."""
-    grouped = events.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), gap).alias("w")).agg(F.count("*").alias("n"))
+    grouped = events.groupBy("user_id", F.session_window(instant(events), gap).alias("w")).agg(F.count("*").alias("n"))
     return grouped.select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
