@@ -17,8 +17,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     gathered. Nodes without edges to others aren't returned.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
-    while True:
+    while not is_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u goes to the least of u's neighbourhood
@@ -28,13 +27,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
         small = large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = saved(small, name)
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None:
-            forget(edges.sparkSession, now)
+        forget(edges.sparkSession, now)
         now = after
-        if mark == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def is_stars(edges: DataFrame) -> bool:
+    """Whether each node u of ``edges(u, v)``, v below u, has one edge, to a node that has none of its own: then all is done."""
+    own = edges.groupBy("u").agg(F.count("*").alias("n"))
+    centres = edges.select(F.col("v").alias("u")).distinct().withColumn("centre", F.lit(True))
+    return own.join(centres, "u", "left").where("n > 1 OR centre").isEmpty()
 
 
 def grow_from_seeds(edges: DataFrame, seeds: DataFrame, most: int = 1_000) -> DataFrame:
