@@ -37,7 +37,7 @@ def encoder(path: str) -> Encoder:
 class Encoder:
     """Texts to their ids as little-endian unsigned 32-bit integers. Null has no ids."""
 
-    def __init__(self, path: str, cached: int = 800_000):
+    def __init__(self, path: str, cached: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,13 +53,17 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cache) > self.cached:  # the older half goes
             self.cache = dict(islice(self.cache.items(), len(self.cache) // 2, None))
-        cache, pieces = self.cache, []
-        for t in texts:
-            pieces.append(None if t and OTHER_SPACE.search(t) else PIECE.findall(t or ""))
-        new = list(set().union(*[found for found in pieces if found]).difference(cache))
+        cache, pieces = self.cache, [PIECE.findall(t or "") for t in texts]
+        new = set().union(*pieces).difference(cache)
+        new = [p for p in new if not OTHER_SPACE.search(p)]  # the others are never in the cache
         cache.update(zip(new, self.fresh(new), strict=True))
-        get = cache.__getitem__
-        return [self.fresh([t])[0] if found is None else b"".join(map(get, found)) for t, found in zip(texts, pieces, strict=True)]
+        get, out = cache.__getitem__, []
+        for t, found in zip(texts, pieces, strict=True):
+            try:
+                out.append(b"".join(map(get, found)))
+            except KeyError:
+                out.append(self.fresh([t])[0])
+        return out
 
     def encode_column(self, column: pa.Array) -> list[bytes]:
         return self.encode(column.to_pylist())

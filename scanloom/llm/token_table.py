@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .arrow import batch_of, row_groups
 from .encoder import default_tokenizer, encoder
-from .shared import fresh_path, saved
+from .shared import bounded_batches, fresh_path, saved
 
 MAGIC = b"SLTOKTB1"
 BLOCK_BYTES = 64 << 10
@@ -66,9 +66,11 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
-    return [(a + i * b) % bits for i in range(HASHES)]
+def probes(keys: list[bytes], bits: int) -> np.ndarray:
+    """For each key the bits of the filter that it sets: ``a + i b`` from two CRCs of it."""
+    a = np.array([zlib.crc32(k) for k in keys], np.int64)[:, None]
+    b = np.array([zlib.crc32(k, 0x5BD1E995) | 1 for k in keys], np.int64)[:, None]
+    return (a + np.arange(HASHES) * b) % bits
 
 
 class TableWriter:
@@ -107,13 +109,12 @@ class TableWriter:
         self.end_block()
         index = b"".join(self.index)
         bits = max(64, BLOOM_BITS * len(self.keys))
-        bloom = bytearray((bits + 7) // 8)
-        for k in self.keys:
-            for p in probes(k, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        marked = np.zeros((bits + 7) // 8 * 8, np.uint8)
+        marked[probes(self.keys, bits).ravel()] = 1
+        bloom = np.packbits(marked, bitorder="little").tobytes()
         first, last = (self.keys[0], self.keys[-1]) if self.keys else (bytes(8), bytes(8))
         footer = FOOTER.pack(self.size, len(index), bits, len(self.keys), self.tokens, first, last, self.width, MAGIC)
-        return b"".join([*self.blocks, index, bytes(bloom), footer])
+        return b"".join([*self.blocks, index, bloom, footer])
 
 
 class TableReader:
@@ -152,7 +153,7 @@ class TableReader:
     def get(self, doc_id: int) -> np.ndarray | None:
         """The ids of a document, or None: filter, then binary search in the index, then one block."""
         key = key_bytes(doc_id)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes(key, self.bits)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes([key], self.bits)[0].tolist()):
             return None
         i = bisect_left(self.index, key, key=lambda e: e[0])
         if i < len(self.index):
@@ -205,6 +206,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
             types = [pa.string(), pa.int32(), pa.int32(), *[pa.int64()] * 4]
             yield batch_of(**{n: pa.array(x, t) for n, t, x in zip(names, types, zip(*done, strict=True), strict=True)})
 
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = keyed.repartitionByRange("key").sortWithinPartitions("key", "text")
     return saved(ordered.mapInArrow(write, MANIFEST), "manifest")
