@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, byte_rows, row_groups
-from .shared import saved
+from .shared import bounded_batches, saved
 from .textcore import WORD_BYTE, as_bytes, gram_hashes, lowered, word_hashes
 
 WORDS = 10
@@ -129,6 +129,7 @@ def slice_hits(docs: DataFrame, index, key: str, text: str) -> DataFrame:
 def judged(docs: DataFrame, benchmark: DataFrame, n: int, key: str, text: str, item: str, item_text: str, extra: list[str], remove: bool = False) -> DataFrame:
     """``extra`` columns of each row with the judgement on it; with ``remove`` also the text without the words hit."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = slices(benchmark, item, item_text)
     first, second = next(parts, []), next(parts, None)
     index = None

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow import batch_of, row_groups
+from .shared import bounded_batches
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -259,6 +260,7 @@ def extract(pages: DataFrame, page: str = "html") -> DataFrame:
 
     Each row is worked on by itself, whole, however long; repeated rows come out each.
     """
+    bounded_batches(pages.sparkSession)
     own = [c for c in pages.columns if c not in ("text", "n_chars")]
     types = dict(pages.dtypes)
 

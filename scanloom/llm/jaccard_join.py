@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, byte_rows, row_groups
-from .shared import connected_components, saved
+from .shared import bounded_batches, connected_components, saved
 from .textcore import NOT_SPACE, gram_hashes, lowered, mix, word_hashes
 
 WORDS, PERCENT = 5, 80
@@ -375,6 +375,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     one with a probability of about n^2 / 2^65.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bounded_batches(docs.sparkSession)
     found = saved(features(docs, words, percent), "features")
     last = last_shingles(found)
     nodes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))

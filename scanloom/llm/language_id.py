@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, row_groups
+from .shared import bounded_batches
 
 #: Bounds of the classifier: labelled rows that it is fitted on (expected number of a sample by hash), and for each
 #: language the words and the n-grams of each length that it keeps, the most frequent first.
@@ -25,7 +26,7 @@ TRAIN_ROWS, WORDS_KEPT, GRAMS_KEPT = 20_000, 20_000, 10_000
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
 NONE = "und"
-CACHED = 300_000
+CACHED = 150_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -89,7 +90,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """``(lang, size, gram, count)`` over all texts of ``labelled(lang, text)``."""
 
     def run(batches):
-        for batch in row_groups(batches, "text"):
+        for batch in row_groups(batches, "text", 1 << 20):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
@@ -113,6 +114,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     The tables on the driver hold at most ``WORDS_KEPT + 5 * GRAMS_KEPT`` entries a language. Without any row
     the model knows no language.
     """
+    bounded_batches(labelled.sparkSession)
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     total = usable.count()
     share = min(1.0, rows / total) if total else 1.0
@@ -131,6 +133,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sums the first language in order wins. Repeated rows come out each.
     """
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

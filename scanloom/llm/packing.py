@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from .arrow import batch_of, row_groups
 from .encoder import default_tokenizer, encoder
+from .shared import bounded_batches
 
 WINDOW = 2048
 OPEN_WINDOWS = 1024
@@ -128,6 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, key
         packer.settle(end=True)
         yield from packer.taken()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
 
 

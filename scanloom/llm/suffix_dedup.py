@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, byte_rows, row_groups
-from .shared import saved
+from .shared import bounded_batches, saved
 from .textcore import mix, prefix_hash, span_hash
 
 LEAST = 100
@@ -254,6 +254,7 @@ REPORT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def with_kept(docs: DataFrame, least: int, carry: bool) -> DataFrame:
     """``docs(doc_id, text, ...)`` to the report on each row, and with ``carry`` also to its other columns and the text ``kept``."""
+    bounded_batches(docs.sparkSession)
     by_doc = repeated_intervals(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
 
