@@ -134,14 +134,22 @@ def index_entries(docs: DataFrame, last: np.ndarray, words: int, percent: int) -
 def complete_groups(batches, keys: int, most: int | None = None):
     """Sorted batches as tables of whole groups by the first ``keys`` columns, with the groups' bounds.
 
-    With ``most``, a group that grows beyond so many rows is passed on in pieces, each as ``(table, None)``.
+    With ``most``, a group that grows beyond so many rows is passed on in pieces, each as ``(table, None)``, its rest too.
     """
-    held = None
+    held = passed = None  # passed: the group that pieces were passed on of last, while it may go on
     for batch in batches:
         table = pa.Table.from_batches([batch])
         table = pa.concat_tables([held, table]).combine_chunks() if held is not None and len(held) else table
         columns = [table.column(i).to_numpy() for i in range(keys)]
         change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in columns], axis=0)) + 1
+        if passed is not None and len(table):
+            rest = 0
+            if passed == [k[0] for k in columns]:
+                rest = int(change[0]) if len(change) else len(table)
+                yield table.slice(0, rest), None
+            if rest < len(table):
+                passed = None
+            table, change = table.slice(rest), change[change > rest] - rest
         if len(change):
             yield table.slice(0, change[-1]), np.concatenate(([0], change))
             held = table.slice(change[-1])
@@ -149,7 +157,7 @@ def complete_groups(batches, keys: int, most: int | None = None):
             held = table
         if most is not None and len(held) > most:
             yield held, None
-            held = held.slice(len(held))
+            held, passed = held.slice(len(held)), [k[-1] for k in columns]
     if held is not None and len(held):
         yield held, np.array([0, len(held)])
 

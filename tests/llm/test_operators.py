@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,41 @@ def test_jaccard_join_long_lists(spark, corpus, monkeypatch):
     assert got == brute.similar(rows)
 
 
+def test_groups_in_pieces_have_no_ordinary_rest():
+    keys = [1] * 3 + [2] * 23 + [3] * 2 + [4] * 9 + [5] * 20
+    for rows in (1, 4, 5, 7, 30):
+        batches = [pa.RecordBatch.from_pydict({"gram": keys[i : i + rows], "row": list(range(i, min(i + rows, len(keys))))}) for i in range(0, len(keys), rows)]
+        groups, pieces, order = [], set(), []
+        for table, bounds in jaccard_join.complete_groups(iter(batches), 1, 8):
+            order += table.column("row").to_pylist()
+            found = table.column("gram").to_pylist()
+            if bounds is None:
+                assert len(set(found)) == 1
+                pieces.add(found[0])
+            else:
+                groups += [found[b:e] for b, e in zip(bounds[:-1], bounds[1:])]
+        assert order == list(range(len(keys)))
+        assert not pieces & {g[0] for g in groups} and all(g == [g[0]] * keys.count(g[0]) for g in groups)
+        assert rows > 8 or {2, 5} <= pieces
+
+
+@pytest.mark.parametrize("batch", ["5", "7"])
+def test_jaccard_join_lists_in_pieces_with_a_rest(spark, monkeypatch, batch):
+    monkeypatch.setattr(jaccard_join, "LIST", 16)
+    monkeypatch.setattr(jaccard_join, "LAST_FROM", 10**6)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        # the largest sets end the lists: each links with small ones only, which lie in the pieces before
+        rng = np.random.default_rng(2)
+        template = prose(rng, 104, 10**6)
+        rows = [(i, template + "".join(f" own{i}x{j}" for j in range(i % 26))) for i in range(70)]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(frame(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == brute.similar(rows)
+
+
 def test_jaccard_join_keeps_one_of_each_group(spark, corpus):
     df = with_clashes(frame(spark, corpus))
     kept = jaccard_join.drop_similar(df)
