@@ -79,7 +79,9 @@ def all_stretches(docs: DataFrame, least: int) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             parts = []
             texts = list(byte_rows(batch.column("text")))
-            for i in np.argsort(ids, kind="stable"):
+            order = np.argsort(ids, kind="stable")
+            again = np.concatenate(([False], ids[order[1:]] == ids[order[:-1]]))
+            for i in order[~again]:  # rows that share an id are one document
                 anchor, whole, first, windows, _ = stretches(texts[i], least)
                 if len(first):
                     parts.append((anchor, whole, np.full(len(first), ids[i]), first, windows))
@@ -89,11 +91,9 @@ def all_stretches(docs: DataFrame, least: int) -> DataFrame:
             order = np.lexsort((whole, anchor))  # stable: equal stretches stay in corpus order
             a, w, d, f = anchor[order], whole[order], doc[order], first[order]
             again = np.concatenate(([False], (a[1:] == a[:-1]) & (w[1:] == w[:-1])))
-            same = np.concatenate(([False], again[1:] & (d[1:] == d[:-1]) & (f[1:] == f[:-1])))
             # settled rows go to any task: not to the one that all of a hot passage would go to
             a = np.where(again, mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + f.astype(np.uint64)), a)
-            rows = ~same
-            yield batch_of(anchor=a[rows].view(np.int64), whole=w[rows].view(np.int64), doc_id=d[rows], place=packed(f, windows[order], again.astype(np.int64))[rows])
+            yield batch_of(anchor=a.view(np.int64), whole=w.view(np.int64), doc_id=d, place=packed(f, windows[order], again.astype(np.int64)))
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, whole long, doc_id long, place long")
 
@@ -177,8 +177,15 @@ def earlier_windows(rows: DataFrame, least: int) -> DataFrame:
     """``(anchor, deal, doc_id, first, data)`` of stretches to the intervals ``(doc_id, start, end)`` that occur earlier."""
 
     def run(batches):
-        family, anchor_now = SuffixFamily(least), None
+        family, anchor_now, last = SuffixFamily(least), None, None
         for whole in batches:
+            if not whole.num_rows:
+                continue
+            # a stretch that was read from several rows of its document is one
+            places = np.stack([whole.column(i).to_numpy() for i in range(4)], axis=1)
+            new = np.concatenate(([last is None or (places[0] != last).any()], (places[1:] != places[:-1]).any(axis=1)))
+            last = places[-1]
+            whole = whole.filter(pa.array(new))
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 keys = np.stack([batch.column(i).to_numpy() for i in range(2)], axis=1)

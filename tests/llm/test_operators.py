@@ -246,6 +246,17 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("settings", [{}, {"HOT": 3, "BATCH": 20, "FAMILY": 300, "SEGMENT": 900}])
+def test_suffix_dedup_of_repeated_rows(spark, corpus, monkeypatch, settings):
+    for k, v in settings.items():
+        monkeypatch.setattr(suffix_dedup, k, v)
+    rows = corpus + corpus[::2] + corpus[::3]
+    want = brute.repeats(corpus)
+    for parts in (1, 5):
+        got = suffix_dedup.repeats(frame(spark, rows).repartition(parts)).collect()
+        assert len(got) == len(rows) and all(tuple(r)[1:] == want[r["doc_id"]] for r in got)
+
+
 def test_suffix_family_merges_levels():
     family = suffix_dedup.SuffixFamily(8)
     rng = np.random.default_rng(0)
