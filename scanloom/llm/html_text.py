@@ -45,7 +45,6 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-DEEPEST = 400
 
 
 class Node:
@@ -83,10 +82,37 @@ def judged(tag: str, attributes: str) -> tuple[bool, bool]:
     return bad, good
 
 
+class Path:
+    """The open elements, outer ones first, and the places of those of a name and of blocks: no step looks through all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.blocks, self.named = [], [], {}
+        self.enter(root)
+
+    def enter(self, node: Node) -> None:
+        self.named.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of a name, -1 for none."""
+        places = self.named.get(tag)
+        return places[-1] if places else -1
+
+    def leave(self, place: int) -> Node:
+        """Ends the element at ``place`` and all in it; its parent is the innermost then."""
+        while len(self.nodes) > place:
+            self.named[self.nodes.pop().tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+        return self.nodes[-1]
+
+
 def parse(page: str) -> Node:
-    """The tree of a page, however broken: ends without a start are passed over, missing ends are made up."""
+    """The tree of a page, however broken and deep: ends without a start are passed over, missing ends are made up."""
     root = Node("html", None, False, False)
-    now, depth, at, size = root, 0, 0, len(page)
+    now, path, at, size = root, Path(root), 0, len(page)
     while at < size:
         found = TAG.search(page, at)
         if found is None:
@@ -103,13 +129,9 @@ def parse(page: str) -> Node:
             continue
         tag = found[3].lower()
         if found[2]:
-            node = now
-            up = 0
-            while node is not None and node.tag != tag:
-                node = node.parent
-                up += 1
-            if node is not None and node.parent is not None:
-                now, depth = node.parent, depth - up - 1
+            place = path.last(tag)
+            if place > 0:
+                now = path.leave(place)
             elif tag == "p":
                 now.parts.append(Node("p", now, False, False))
             continue
@@ -117,18 +139,14 @@ def parse(page: str) -> Node:
             continue
         if tag in BLOCK:
             # a block ends an open paragraph
-            node, up = now, 0
-            while node is not None and node.tag not in BLOCK:
-                node, up = node.parent, up + 1
-            if node is not None and node.tag == "p" and node.parent is not None:
-                now, depth = node.parent, depth - up - 1
+            place = path.blocks[-1]
+            if path.nodes[place].tag == "p":
+                now = path.leave(place)
         if tag in CLOSES:
             ended, limit = CLOSES[tag]
-            node, up = now, 0
-            while node is not None and node.tag not in ended and node.tag not in limit:
-                node, up = node.parent, up + 1
-            if node is not None and node.tag in ended and node.parent is not None:
-                now, depth = node.parent, depth - up - 1
+            place = max(map(path.last, ended))
+            if place > 0 and place > max(map(path.last, limit)):
+                now = path.leave(place)
         bad, good = judged(tag, found[4] or "")
         node = Node(tag, now, bad, good)
         now.parts.append(node)
@@ -142,8 +160,8 @@ def parse(page: str) -> Node:
                 close = page.find(">", at)
                 at = size if close < 0 else close + 1
             continue
-        if depth < DEEPEST:  # deeper elements become children of the deepest
-            now, depth = node, depth + 1
+        path.enter(node)
+        now = node
     return root
 
 

@@ -499,6 +499,20 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("depth", [10, 399, 400, 500, 30_000])
+def test_deep_pages(depth):
+    down, up = "<div>" * depth, "</div>" * depth
+    assert html_text.main_text(f"<div><article>{down}{up}<p>rest</p></article></div>") == "rest"
+    assert html_text.main_text(f"<article><p>a</p>{down}<p>in</p><nav>menu</nav><div class=ad>Buy <i>now</i></div><form><p>Sign up</p></form>{up}<p>z</p></article>") == "a\nin\nz"
+    fonts = "<font>" * depth
+    assert html_text.main_text(f"<article><p>a{fonts}b<nav>menu</nav></em></p><p>c</p></article>") == "ab\nc"
+
+
+def test_deep_pages_take_time_in_proportion():
+    for step in ("</b>", "<div></div>", "<li>x</li>", "<td>x"):
+        assert html_text.parse("<font>" * 50_000 + step * 50_000) is not None
+
+
 def test_extract(spark):
     rows = [(1, PAGE, 1), (1, PAGE, 1), (2, None, 2), (3, "<article><p>" + "word, " * 50_000 + "</article>", 3)]
     df = spark.createDataFrame(rows, "page_id long, html string, n_chars int")
