@@ -378,16 +378,16 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     Words are maximal runs of bytes other than blanks, tabs and line ends, A-Z lower-cased. Texts of fewer than
     ``words`` words have their whole sequence as one shingle. Null, empty and blank texts have the empty set and
-    are components of their own. Rows that share a ``doc_id`` must share a text and come out each. An empty table
-    gives an empty result. Sets are known by 64-bit hashes: among n different sets some two are taken for
+    are components of their own. Rows that share a ``doc_id`` must share a text and come out each. Rows without a
+    ``doc_id`` link with nothing and have no component: it is null. An empty table gives an empty result. Sets are known by 64-bit hashes: among n different sets some two are taken for
     one with a probability of about n^2 / 2^65.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bounded_batches(docs.sparkSession)
     found = saved(features(docs, words, percent), "features")
     last = last_shingles(found)
-    nodes = found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    entries = saved(shared_entries(index_entries(docs, last, words, percent), percent), "entries")
+    nodes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    entries = saved(shared_entries(index_entries(docs.where("doc_id IS NOT NULL"), last, words, percent), percent), "entries")
     led = saved(led_entries(entries.join(nodes.select("node", "sketch"), "node"), percent), "led-entries")
     texts = texts_of(led, nodes, docs)
 
@@ -408,14 +408,18 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = named.join(least, "component").select("node", "component_id")
     return found.select("doc_id", "n", "node").join(answer, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest key, all its equal rows included."""
+    """``docs`` with one document of each component: the one of the smallest key, all its equal rows included.
+
+    Rows without a key link with nothing, so all of them stay.
+    """
     kept = similar_components(docs, words, percent, key, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[key].cast("long") == kept["_kept"], "left_semi")
+    keyed = docs[key].cast("long")
+    return docs.join(kept, keyed == kept["_kept"], "left_semi").union(docs.where(keyed.isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -114,6 +114,22 @@ def test_jaccard_join_keeps_one_of_each_group(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in brute.similar(corpus).values()})
 
 
+def test_jaccard_join_without_ids(spark):
+    rng = np.random.default_rng(4)
+    a, b, alone = (prose(rng, 60) for _ in range(3))
+    w = b.split()
+    chain = [" ".join(["y"] * 6 + w[6:]), b, " ".join(w[:-6] + ["z"] * 6)]  # neighbours link, the ends don't
+    rows = [(1, a), (2, a), (None, a), (None, a), (3, chain[0]), (None, chain[1]), (4, chain[2]), (None, alone), (None, ""), (None, None), (5, "")]
+    df = frame(spark, rows)
+    assert {c for _, c in brute.similar([(3, chain[0]), (9, chain[1]), (4, chain[2])]).values()} == {3}
+    assert brute.similar([(3, chain[0]), (4, chain[2])])[4][1] == 4
+    got = jaccard_join.similar_components(df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute.similar([r for r in rows if r[0] is not None])
+    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None) == [(0, None)] * 2 + [(56, None)] * 4  # of no text twice, of a twice, of b and of alone
+    kept = [tuple(r) for r in jaccard_join.drop_similar(df).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[0] != 2], key=str)
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.similar_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.similar_components(frame(spark, [(4, None), (4, None)])).collect()] == [(4, 0, 4)] * 2
