@@ -110,7 +110,10 @@ def joined(kinds: DataFrame, count: int, least: float) -> DataFrame:
     blocks, far = np.ones(len(pivots), np.int64), np.full(len(pivots), -np.inf)
     for r in found:  # a row for each pivot at most
         blocks[r["cell"]], far[r["cell"]] = math.ceil(r["n"] / CELL), r["far"]
-    plan = spark.sparkContext.broadcast((pivots, blocks, far, distances(pivots, pivots)))
+    # squares of distances are right to this, so a distance near 0 only to its root: bounds allow for it, which can only add visits
+    slack = 1e-12 + 4e-15 * pivots.shape[1]
+    far = np.where(far >= 0, np.sqrt(far * far + slack), far)
+    plan = spark.sparkContext.broadcast((pivots, blocks, far, np.sqrt(distances(pivots, pivots) ** 2 + slack)))
 
     def deal(batches):
         pivots, blocks, far, between = plan.value
@@ -121,8 +124,7 @@ def joined(kinds: DataFrame, count: int, least: float) -> DataFrame:
                 d = distances(units(vectors_of(part.column("v"))), pivots)
                 home = homes(d)
                 own = d[np.arange(len(home)), home][:, None]
-                gap = np.maximum(between[home], 1e-300)
-                visits = ((d * d - own * own) / (2 * gap) <= radius_of) & (d <= far[None, :] + radius_of)
+                visits = (d * d - own * own <= 2 * between[home] * radius_of + slack) & (d <= far[None, :] + radius_of)
                 visits[np.arange(len(home)), home] = True
                 row, cell = np.nonzero(visits)
                 times = blocks[cell]

@@ -443,6 +443,18 @@ def test_metric_join(spark, monkeypatch, cell):
     assert got == brute.vector_links(exact)
 
 
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_metric_join_of_scaled_copies(spark, monkeypatch, kind):
+    monkeypatch.setattr(metric_join, "CELL", 10)
+    rng = np.random.default_rng(12)
+    bases = rng.normal(size=(2, 64))
+    v = [(b * f).astype(np.float32 if kind == "float" else float).tolist() for b in bases for f in rng.uniform(0.3, 3, 150)]
+    rows = list(enumerate(v))
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in metric_join.link_vectors(df).collect()}
+    assert got == brute.vector_links(rows)
+
+
 def test_metric_join_empty(spark):
     assert metric_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in metric_join.link_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
