@@ -2,7 +2,8 @@
 
 The windows of all benchmark items are hashed into a sorted array that every task gets. Each text's windows
 are hashed and looked up there; every hit is verified word by word before it counts. A benchmark that is too large for
-that is worked through in slices, one broadcast after the other, and the hits of all slices are joined by document.
+that is worked through in slices, one broadcast after the other, and the hits of all slices are joined by
+key and text.
 """
 
 from __future__ import annotations
@@ -112,18 +113,24 @@ def slice_hits(docs: DataFrame, index, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in row_groups(batches, text):
-            keys, begins, ends, items = [], [], [], []
-            for k, data in zip(batch.column("_key").to_pylist(), byte_rows(batch.column(text)), strict=True):
+            keys, hashes, begins, ends, items = [], [], [], [], []
+            for k, h, data in zip(batch.column("_key").to_pylist(), batch.column("_hash").to_pylist(), byte_rows(batch.column(text)), strict=True):
                 hit, found = index.value.hits(*words_of(data))
                 if found:
                     a, b = runs(hit)
                     keys.append(k)
+                    hashes.append(h)
                     begins.append(a.tolist())
                     ends.append(b.tolist())
                     items.append(sorted(found))
-            yield batch_of(_key=pa.array(keys, pa.string()), _begins=pa.array(begins, pa.list_(pa.int32())), _ends=pa.array(ends, pa.list_(pa.int32())), _items=pa.array(items, pa.list_(pa.string())))
+            yield batch_of(_key=pa.array(keys, pa.string()), _hash=pa.array(hashes, pa.string()), _begins=pa.array(begins, pa.list_(pa.int32())), _ends=pa.array(ends, pa.list_(pa.int32())), _items=pa.array(items, pa.list_(pa.string())))
 
-    return docs.select(F.col(key).cast("string").alias("_key"), text).mapInArrow(run, "_key string, _begins array<int>, _ends array<int>, _items array<string>")
+    return docs.select(*row_name(docs, key, text), text).mapInArrow(run, "_key string, _hash string, _begins array<int>, _ends array<int>, _items array<string>")
+
+
+def row_name(docs: DataFrame, key: str, text: str) -> list:
+    """What rows are known by between slices: the key, empty for null, and the text's hash, so that rows without a key are judged too."""
+    return [F.coalesce(docs[key].cast("string"), F.lit("")).alias("_key"), F.sha2(F.coalesce(docs[text], F.lit("")), 256).alias("_hash")]
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, n: int, key: str, text: str, item: str, item_text: str, extra: list[str], remove: bool = False) -> DataFrame:
@@ -143,8 +150,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, n: int, key: str, text: str, i
             found.append(saved(slice_hits(docs, one, key, text), "slice-hits"))
             one.destroy()
         flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("_begins", "_ends", "_items")]
-        whole = reduce(DataFrame.union, found).groupBy("_key").agg(*flat)
-        source = source.withColumn("_key", docs[key].cast("string")).join(whole, "_key", "left")
+        whole = reduce(DataFrame.union, found).distinct().groupBy("_key", "_hash").agg(*flat)
+        source = docs.select(*source.columns, *row_name(docs, key, text)).join(whole, ["_key", "_hash"], "left")
 
     def run(batches):
         for batch in row_groups(batches, text):
@@ -181,7 +188,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, key
 
     Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII. Null and empty texts have no words;
     items without words have no windows; items that repeat count once for each ``item_id``. An empty benchmark
-    hits nothing. Rows are judged each; with a benchmark beyond ``SLICE_BYTES``, rows that share a key must share a text.
+    hits nothing. Rows are judged each, with a key or without.
     """
     return judged(docs, benchmark, n, key, text, item, item_text, [key])
 

@@ -213,6 +213,20 @@ def test_decontaminate(spark, dirty, benchmark, monkeypatch):
     assert {r["doc_id"]: r["contaminated"] for r in again.collect()} == {i: x[-1] for i, x in got.items()}
 
 
+def test_decontaminate_rows_without_key(spark, dirty, benchmark, monkeypatch):
+    rows = [(None, t) for _, t in dirty] + [(7, dirty[4][1]), (7, dirty[0][1])]
+    bad = [x[-1] for x in brute.contaminated(list(enumerate(t for _, t in rows)), benchmark).values()]
+    df, bench = frame(spark, rows), spark.createDataFrame(benchmark, ITEMS)
+    seen = {}
+    for size in (decontaminate.SLICE_BYTES, 50):
+        monkeypatch.setattr(decontaminate, "SLICE_BYTES", size)
+        kept = sorted((tuple(r) for r in decontaminate.decontaminate(df, bench).collect()), key=str)
+        assert kept == sorted([r for r, b in zip(rows, bad, strict=True) if not b], key=str)
+        seen[size] = sorted((tuple(r) for r in decontaminate.find_contaminated(df, bench).collect()), key=str)
+    whole, sliced = seen.values()
+    assert whole == sliced
+
+
 def test_decontaminate_removes(spark, dirty, benchmark):
     df, bench = with_clashes(frame(spark, dirty)), spark.createDataFrame(benchmark, ITEMS)
     bad = {i for i, x in brute.contaminated(dirty, benchmark).items() if x[-1]}
