@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
@@ -23,12 +24,26 @@ def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
         yield bytes_[offsets[i] : offsets[i + 1]] if valid is None or valid[i] else bytes_[:0]
 
 
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all values end to end, and where each begins (and the end); null is empty."""
+    if pa.types.is_null(column.type):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, places, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def row_groups(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about ``most_bytes`` of text, or a single row that has more."""
     for batch in batches:
-        sizes = np.fromiter((len(x) for x in byte_rows(batch.column(column))), np.int64, batch.num_rows)
+        _, places = laid_out(batch.column(column))
         total, begin = 0, 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(np.diff(places).tolist()):
             if total and total + n > most_bytes:
                 yield batch.slice(begin, i - begin)
                 total, begin = 0, i

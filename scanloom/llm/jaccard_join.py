@@ -1,36 +1,40 @@
 """Exact set-similarity join of documents on word n-grams, with skipping by set relations.
 
-Documents with equal sets are one node. Under a total order of all shingles (by hash, the most frequent ones
-last), two sets that are similar enough share a shingle of their prefixes, so each set is filed under its
-prefix only. An index list holds its sets by size and each set's position of the shingle:
-
-* index-level skipping: within a list, a set meets only the run of sizes that can reach the similarity, and of
-  those only the ones whose positions, and whose parity sketches, leave room for enough common shingles;
-* answer-level skipping: in a first round each list compares its sets with a leader only. A set that links
-  to its leader takes over the leader's component; from then on a list compares only sets of different components,
-  and lists that lie in one component are skipped whole. Rounds in which each set meets its most similar one of
-  another component go on until they find no link; a last round then takes all pairs that are left.
-
-All rounds verify their candidates on the whole texts. Nothing is capped: lists of any length are split over
-tasks in blocks.
+Documents with equal sets are one node, which goes by its smallest doc_id. Under a total order of all shingles (by hash,
+the most frequent ones last), two sets that are similar enough share a shingle of their prefixes, so each set is filed
+under its prefix only. An index list holds its sets in blocks of one size, each block by the shingle's position:
+
+* index-level skipping: for two blocks of a list the sizes say how early the shingle must stand in a set of either, if
+  it is the first that two sets share. Blocks whose first position is too late are skipped whole, and of the others
+  what stands behind that position; what meets no block is dropped before any text is touched.
+* answer-level skipping: lists that begin with one set, its near copies' lists, are one family, and each size class of it has
+  a leader. A set that links to its leader takes over the leader's component, so its answer comes from a set that is like
+  it; families that lie in one component are skipped whole, and elsewhere only sets of different components
+  meet. Rounds in which each set meets its most similar one of another component go on until they find no link; a
+  last round then takes all pairs that are left.
+
+Pairs are sifted by parity sketches, and each that is left is verified on the words of both whole texts. Nothing is capped:
+lists and families of any length are split over tasks in blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batch_of, byte_rows, row_groups
-from .shared import bounded_batches, connected_components, saved
-from .textcore import NOT_SPACE, gram_hashes, lowered, mix, word_hashes
+from .arrow import batch_of, byte_rows, laid_out, row_groups
+from .shared import bounded_batches, connected_components, forget, saved
+from .textcore import NOT_SPACE, Words, gram_hashes, mix
 
 WORDS, PERCENT = 5, 80
 #: The order puts at most so many shingles last, those that most prefixes hold. Any choice gives the same links.
 LAST_SHINGLES, LAST_FROM = 1 << 20, 3
 SKETCH_WORDS = 32
-#: An index list of more sets than this is split into blocks, and pairs of blocks are separate groups.
+#: A family of more sets than this is split into blocks, and pairs of blocks are separate groups.
 BLOCK = 4096
 #: An index list that a task holds at once while entries that cannot link are dropped.
 LIST = 1 << 16
@@ -49,15 +53,32 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def shingles(data: np.ndarray, words: int) -> np.ndarray:
-    _, _, hashes = word_hashes(lowered(data), NOT_SPACE)
-    return np.unique(gram_hashes(hashes, min(words, len(hashes)))) if len(hashes) else hashes
+def half_name(grams: np.ndarray) -> int:
+    return int(grams.sum(dtype=np.uint64) >> np.uint64(1))
+
 
+def shingles(column: pa.Array, words: int, named: bool = False):
+    """For each text its distinct shingles, sorted by hash, and with ``named`` the halves of the set's name, 63 bits each.
 
-def node_of(grams: np.ndarray) -> int:
-    """A 64-bit name of a set, signed."""
-    with np.errstate(over="ignore"):
-        return int((mix(grams ^ np.uint64(0xA5A5F00D12345678)).sum(dtype=np.uint64) + np.uint64(len(grams))).view(np.int64))
+    They are sums over the set of two hashes of each shingle, from two independent hashes of its words.
+    """
+    found = Words.of(*laid_out(column), NOT_SPACE)
+    first = found.first.tolist()
+    hashes = [found.hashes(which) for which in range(1 + named)]
+    grams = [gram_hashes(h, words) for h in hashes]
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if a == b:
+            yield np.zeros(0, np.uint64), (0, 0)
+            continue
+        mine = [g[a : b - words + 1] if b - a >= words else gram_hashes(h[a:b], b - a) for g, h in zip(grams, hashes, strict=True)]
+        if not named:
+            yield np.unique(mine[0]), None
+            continue
+        order = np.argsort(mine[0])
+        one, two = mine[0][order], mine[1][order]
+        new = np.concatenate(([True], one[1:] != one[:-1]))
+        one, two = one[new], two[new]
+        yield one, (half_name(one), half_name(two))
 
 
 def sketch_of(grams: np.ndarray) -> bytes:
@@ -66,24 +87,30 @@ def sketch_of(grams: np.ndarray) -> bytes:
     return np.packbits(cells.astype(np.uint8)).tobytes()
 
 
+def word_set(data: np.ndarray, words: int) -> set:
+    """The set in the words themselves."""
+    found = data.tobytes().lower().split()  # both know ASCII only: A-Z, and blanks, tabs and line ends
+    n = min(words, len(found))
+    return set(zip(*(found[i:] for i in range(n)), strict=False)) if n else set()
+
+
 def features(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """For each document its set's size, node and sketch, and its prefix by hash, the latter once for a node and task."""
+    """For each document its set's size and name, and its prefix by hash, the latter once for a set and task."""
 
     def run(batches):
         seen = set()
-        for batch in row_groups(batches, "text"):
-            n, node, sketch, prefix = [], [], [], []
-            for data in byte_rows(batch.column("text")):
-                grams = shingles(data, words)
+        for batch in row_groups(batches, "text", 1 << 20):
+            n, name, prefix = [], [], []
+            for grams, this in shingles(batch.column("text"), words, named=True):
                 n.append(len(grams))
-                node.append(node_of(grams))
-                sketch.append(sketch_of(grams))
-                fresh = len(grams) and node[-1] not in seen
-                seen.add(node[-1])
+                name.append(this)
+                fresh = len(grams) and this not in seen
+                seen.add(this)
                 prefix.append(grams[: prefix_size(len(grams), percent)].view(np.int64) if fresh else None)
-            yield batch_of(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int32()), node=pa.array(node, pa.int64()), sketch=pa.array(sketch, pa.binary()), prefix=pa.array(prefix, pa.list_(pa.int64())))
+            one, two = zip(*name, strict=True)
+            yield batch_of(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int32()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()), prefix=pa.array(prefix, pa.list_(pa.int64())))
 
-    return docs.mapInArrow(run, "doc_id long, n int, node long, sketch binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, one long, two long, prefix array<long>")
 
 
 def last_shingles(found: DataFrame) -> np.ndarray:
@@ -94,41 +121,38 @@ def last_shingles(found: DataFrame) -> np.ndarray:
 
 
 def index_entries(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
-    """A row for each shingle of each set's prefix under the order."""
+    """A row for each shingle of each set's prefix under the order; sets go by half their names here."""
     places = np.argsort(last, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((last[places], places + 1))
 
     def run(batches):
         keys, ranks = shared.value
         seen = set()
-        for batch in row_groups(batches, "text"):
-            gram, node, size, pos = [], [], [], []
-            for data in byte_rows(batch.column("text")):
-                grams = shingles(data, words)
-                if not len(grams) or (name := node_of(grams)) in seen:
+        for batch in row_groups(batches, "text", 1 << 20):
+            gram, one, size, pos = [], [], [], []
+            for grams, _ in shingles(batch.column("text"), words):
+                if not (total := len(grams)) or (name := hashlib.blake2b(grams, digest_size=16).digest()) in seen:
                     continue
                 seen.add(name)
+                half = half_name(grams)
+                take = prefix_size(total, percent)
                 if len(keys):
                     at = np.searchsorted(keys, grams)
                     at[at == len(keys)] = 0
                     late = np.where(keys[at] == grams, ranks[at], 0)
                     head = np.flatnonzero(late == 0)
-                    take = prefix_size(len(grams), percent)
                     if len(head) < take:
                         head = np.concatenate((head, (order := np.flatnonzero(late))[np.argsort(late[order], kind="stable")]))
                     grams = grams[head[:take]]
-                    total = len(late)
-                else:
-                    total = len(grams)
-                    grams = grams[: prefix_size(total, percent)]
-                gram.append(grams)
-                node.append(np.full(len(grams), name))
-                size.append(np.full(len(grams), total, np.int32))
-                pos.append(np.arange(len(grams), dtype=np.int32))
+                gram.append(grams[:take])
+                one.append(half)
+                size.append(total)
+                pos.append(np.arange(take, dtype=np.int32))
             if gram:
-                yield batch_of(gram=np.concatenate(gram).view(np.int64), node=np.concatenate(node), n=np.concatenate(size), pos=np.concatenate(pos))
+                times = [len(x) for x in gram]
+                yield batch_of(gram=np.concatenate(gram).view(np.int64), one=np.repeat(np.array(one, np.int64), times), n=np.repeat(np.array(size, np.int32), times), pos=np.concatenate(pos))
 
-    return docs.select("text").mapInArrow(run, "gram long, node long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "gram long, one long, n int, pos int")
 
 
 def complete_groups(batches, keys: int, most: int | None = None):
@@ -162,46 +186,35 @@ def complete_groups(batches, keys: int, most: int | None = None):
         yield held, np.array([0, len(held)])
 
 
-def reach(n: np.ndarray, pos: np.ndarray, a, b, percent: int) -> np.ndarray:
-    """Whether rows ``a`` and ``b`` of a list can link: as far as sizes and positions say, if this shingle is the first they share."""
-    room = np.minimum(n[a] - pos[a], n[b] - pos[b])
-    return room >= needed(n[a], n[b], percent)
-
-
-def within(sketch: np.ndarray, n: np.ndarray, a, b, percent: int) -> np.ndarray:
-    """Whether rows ``a`` and ``b`` can link as far as their sketches say: parities that differ are shingles that differ."""
-    out = np.zeros(len(a), bool)
-    for at in range(0, len(a), 65536):
-        x, y = a[at : at + 65536], b[at : at + 65536]
-        most = n[x] + n[y] - 2 * needed(n[x], n[y], percent)
-        differ = np.bitwise_count(sketch[x, :8] ^ sketch[y, :8]).sum(axis=1, dtype=np.int64)
-        near = np.flatnonzero(differ <= most)
-        x, y = x[near], y[near]
-        differ = differ[near] + np.bitwise_count(sketch[x, 8:] ^ sketch[y, 8:]).sum(axis=1, dtype=np.int64)
-        out[at + near[differ <= most[near]]] = True
-    return out
+def linkable(gram: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of whole lists, sorted by size and position, that can link with another row of their list if its shingle is the first they share.
 
-
-def linkable(gram: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, sketch: np.ndarray | None = None) -> np.ndarray:
-    """Rows of whole lists, each sorted by size, that can link with another row of their list.
-
-    Rows are compared with neighbours at a growing distance; lists that have ended drop out, and so do sizes out of reach.
+    Blocks of one size are compared with blocks at a growing distance; lists that have ended drop out, and so do sizes out of reach.
     """
-    fits = np.zeros(len(gram), bool)
-    open_, step = np.arange(len(gram)), 1
+    if not len(gram):
+        return np.zeros(0, bool)
+    begin = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (n[1:] != n[:-1]))))
+    count = np.diff(np.concatenate((begin, [len(gram)])))
+    list_, size, first = gram[begin], n[begin], pos[begin]
+    second = np.where(count > 1, pos[np.minimum(begin + 1, len(pos) - 1)], np.iinfo(np.int64).max)
+    last = size - needed(size, size, percent)
+    last = np.where(second <= last, last, -1)  # the latest position of a block that meets any other row
+    open_, step = np.arange(len(begin)), 1
     while len(open_):
-        open_ = open_[open_ + step < len(gram)]
-        open_ = open_[(gram[open_ + step] == gram[open_]) & (percent * n[open_ + step] <= 100 * n[open_])]
-        linked = open_[reach(n, pos, open_, open_ + step, percent)]
-        if sketch is not None:
-            linked = linked[within(sketch, n, linked, linked + step, percent)]
-        fits[linked] = fits[linked + step] = True
+        open_ = open_[open_ + step < len(begin)]
+        open_ = open_[(list_[open_ + step] == list_[open_]) & (percent * size[open_ + step] <= 100 * size[open_])]
+        a, b = open_, open_ + step
+        need = needed(size[a], size[b], percent)
+        meet = (first[a] <= size[a] - need) & (first[b] <= size[b] - need)
+        a, b, need = a[meet], b[meet], need[meet]
+        last[a] = np.maximum(last[a], size[a] - need)
+        last[b] = np.maximum(last[b], size[b] - need)
         step += 1
-    return fits
+    return pos <= np.repeat(last, count)
 
 
 def shared_entries(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries that, by sizes and positions, can link with another of their list, with the list's first set as its head.
+    """Sets that, by sizes and positions, can link with another of a list, with the list's first set as its head: ``(head, head_n, one, n)``.
 
     Lists that are too long to hold are passed on whole, piece by piece.
     """
@@ -209,94 +222,109 @@ def shared_entries(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         last = None
         for table, bounds in complete_groups(batches, 1, LIST):
-            gram, node, n, pos = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
-            keep = np.ones(len(gram), bool)
-            keep[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])  # one entry for a set
-            gram, node, n, pos = gram[keep], node[keep], n[keep], pos[keep]
+            gram, one, n, pos = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+            keep = np.ones(len(gram), bool)  # one entry for a set
+            keep[1:] = (gram[1:] != gram[:-1]) | (one[1:] != one[:-1]) | (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])
+            gram, one, n, pos = gram[keep], one[keep], n[keep], pos[keep]
             rows = np.arange(len(gram)) if bounds is None else np.flatnonzero(linkable(gram, n, pos, percent))
             if not len(rows):
                 continue
-            gram, node = gram[rows], node[rows]
+            gram, one, n = gram[rows], one[rows], n[rows]
             first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            head = np.repeat(node[first], np.diff(np.concatenate((first, [len(gram)]))))
+            times = np.diff(np.concatenate((first, [len(gram)])))
+            head, head_n = np.repeat(one[first], times), np.repeat(n[first], times)
             if last is not None and last[0] == gram[0]:  # a list that goes on
-                head[gram == gram[0]] = last[1]
-            last = (gram[-1], head[-1])
-            yield batch_of(gram=gram, node=node, n=n[rows].astype(np.int32), pos=pos[rows].astype(np.int32), head=head)
+                head[gram == gram[0]], head_n[gram == gram[0]] = last[1:]
+            last = (gram[-1], head[-1], head_n[-1])
+            yield batch_of(head=head, head_n=head_n.astype(np.int32), one=one, n=n.astype(np.int32))
 
-    ordered = entries.repartition("gram").sortWithinPartitions("gram", "n", "node", "pos")
-    return ordered.mapInArrow(run, "gram long, node long, n int, pos int, head long")
+    ordered = entries.repartition("gram").sortWithinPartitions("gram", "n", "pos", "one")
+    return ordered.mapInArrow(run, "head long, head_n int, one long, n int").distinct()
 
 
-def led_entries(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries whose sketches, too, leave a link possible, each with the leader of its list that it may link with.
+def sketched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(node, sketch, text)`` of the documents that ``nodes(node)`` name."""
+    small = nodes.count() <= BROADCAST_IDS
+
+    def run(batches):
+        for batch in row_groups(batches, "text", 1 << 20):
+            found = [sketch_of(grams) for grams, _ in shingles(batch.column("text"), words)]
+            yield batch_of(node=batch.column("doc_id"), sketch=pa.array(found, pa.binary()), text=batch.column("text"))
+
+    mine = docs.join(F.broadcast(nodes) if small else nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text")
+    return saved(mine.mapInArrow(run, "node long, sketch binary, text string"), "texts")
 
-    A list's first set leads until sizes are out of its reach, then the next one does. Lists of more than ``BLOCK`` sets
-    stay whole here; their pairs are weighed block by block later.
-    """
+
+def sketch_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+
+
+def within(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """How many parities of sketches differ, or -1 where that is more than sets of sizes ``n`` and ``m`` that link can; ``y`` may be one row."""
+    y = np.broadcast_to(y, x.shape)
+    most = n + m - 2 * needed(n, m, percent)
+    differ = np.bitwise_count(x[:, :8] ^ y[:, :8]).sum(axis=1, dtype=np.int64)
+    near = np.flatnonzero(differ <= most)
+    differ[differ > most] = -1
+    whole = differ[near] + np.bitwise_count(x[near, 8:] ^ y[near, 8:]).sum(axis=1, dtype=np.int64)
+    differ[near] = np.where(whole <= most[near], whole, -1)
+    return differ
+
+
+def star_pairs(families: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Each set of a family with the leader of its size class, where sizes and sketches leave a link possible."""
+    step = F.log(F.lit(100.0 / percent))
+    classed = families.withColumn("class", F.floor(F.log(F.col("n") / F.col("head_n")) / step + 1e-9).cast("int"))
+    leaders = classed.groupBy("head", "class").agg(F.min(F.struct("n", "node")).alias("leader"))
+    pairs = classed.join(leaders, ["head", "class"]).where((F.col("node") != F.col("leader.node")) & (100 * F.col("leader.n") >= percent * F.col("n")))
+    pairs = pairs.select(F.col("node").alias("a"), "n", F.col("leader.node").alias("b"), F.col("leader.n").alias("m")).distinct()
+    one, two = (sketches.withColumnsRenamed({"node": c, "sketch": f"sketch_{c}"}) for c in "ab")
 
     def run(batches):
-        leader = None
-        for table, bounds in complete_groups(batches, 1, LIST):
-            gram, node, n, pos = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
-            sketch = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            fits = np.ones(len(gram), bool)
-            if bounds is not None:
-                short = np.repeat(np.diff(bounds) <= BLOCK, np.diff(bounds))
-                some = np.flatnonzero(short)
-                fits[some] = linkable(gram[some], n[some], pos[some], percent, sketch[some])
-            rows = np.flatnonzero(fits)
-            leaders = []
-            for i, g, m, p in zip(rows.tolist(), gram[rows].tolist(), n[rows].tolist(), pos[rows].tolist(), strict=True):
-                if leader is None or leader[0] != g or 100 * leader[2] < percent * m:
-                    leader = (g, int(node[i]), m, p, sketch[i])
-                    leaders.append(None)
-                    continue
-                need = needed(m, leader[2], percent)
-                near = min(m - p, leader[2] - leader[3]) >= need and int(np.bitwise_count(sketch[i] ^ leader[4]).sum()) <= m + leader[2] - 2 * need
-                leaders.append(leader[1] if near else None)
-            if len(rows):
-                yield batch_of(**{c: table.column(c).combine_chunks().take(pa.array(rows)) for c in ("gram", "node", "n", "pos", "head", "sketch")}, leader=pa.array(leaders, pa.int64()))
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (1, 3))
+                fits = within(sketch_rows(batch.column(4)), sketch_rows(batch.column(5)), n, m, percent) >= 0
+                yield batch.select([0, 2]).filter(pa.array(fits))
 
-    ordered = entries.select("gram", "node", "n", "pos", "head", "sketch").repartition("gram").sortWithinPartitions("gram", "n", "node")
-    return ordered.mapInArrow(run, "gram long, node long, n int, pos int, head long, sketch binary, leader long")
+    return pairs.join(one, "a").join(two, "b").select("a", "n", "b", "m", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs of sets of different components, from lists with ``node, n, pos, head, label, sketch``, that may link.
+def cross_pairs(families: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of sets of one family and different components that may link.
 
-    With ``nearest``, only for each set of a list the pair whose sketches differ least. Lists that begin with
-    the same set come together, so that a pair that many lists hold is given once. Lists of more than ``BLOCK``
-    sets are dealt as pairs of blocks.
+    With ``nearest``, only for each set of a family the pair whose sketches differ least. Families in one
+    component are dropped before anything else. Larger ones than ``BLOCK`` are dealt as pairs of blocks; blocks of the
+    component that most of a family lies in don't meet each other.
     """
-    long_lists = entries.groupBy("gram").count().where(F.col("count") > BLOCK).select("gram", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    labelled = families.select("head", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = labelled.groupBy("head", "label").count().groupBy("head").agg(F.sum("count").alias("all"), F.max_by("label", F.struct("count", "label")).alias("major"), F.max("count").alias("most"), F.count("*").alias("labels"))
+    open_ = counts.where("labels > 1").select("head", "major", *[F.when(F.col("all") <= BLOCK, F.lit(0)).otherwise(F.ceil(c / BLOCK)).cast("int").alias(n) for c, n in ((F.col("most"), "majors"), (F.col("all") - F.col("most"), "minors"))])
+    of_most = F.col("label") == F.col("major")
+    mine = F.pmod(F.xxhash64("node"), F.greatest(F.when(of_most, F.col("majors")).otherwise(F.col("minors")), F.lit(1))).cast("int") + F.when(of_most, F.lit(0)).otherwise(F.col("majors"))
+    others = F.when(F.col("minors") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.when(of_most, F.col("majors")).otherwise(F.lit(0)), F.col("majors") + F.col("minors") - 1))
     dealt = (
-        entries.join(long_lists, "gram", "left")
-        .withColumn("head", F.when(F.col("blocks").isNull(), F.col("head")).otherwise(F.col("gram")))
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("first", F.least("mine", "other"))
-        .withColumn("second", F.greatest("mine", "other"))
-        .select("head", "gram", "first", "second", "mine", "n", "node", "pos", "label", "sketch")
+        labelled.join(open_, "head")
+        .withColumn("mine", F.when(F.col("minors") == 0, F.lit(0)).otherwise(mine))
+        .join(sketches, "node")
+        .withColumn("other", F.explode(others))
+        .select("head", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"), "mine", "n", "node", "label", "sketch")
     )
 
     def run(batches):
-        given, held, head = [], 0, None
+        given, held = [], 0
 
         def distinct():
             pairs = np.unique(np.concatenate(given), axis=0)
             return batch_of(a=pairs[:, 0].copy(), b=pairs[:, 1].copy())
 
-        for table, bounds in complete_groups(batches, 4):
-            heads = table.column(0).to_numpy()
-            first, second, mine, n, node, pos, label = [table.column(i).to_numpy().astype(np.int64) for i in range(2, 9)]
-            sketch = np.frombuffer(b"".join(table.column(9).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        for table, bounds in complete_groups(batches, 3):
+            first, second, mine, n, node, label = [table.column(i).to_numpy().astype(np.int64) for i in range(1, 7)]
+            sketch = sketch_rows(table.column(7))
             for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if given and (heads[b] != head or held > PAIRS):
+                if given and held > PAIRS:
                     yield distinct()
                     given, held = [], 0
-                head = heads[b]
                 if e - b < 2 or (label[b:e] == label[b]).all():
                     continue
                 blocks = first[b] != second[b]
@@ -308,14 +336,10 @@ def cross_pairs(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
                     if blocks:
                         fits &= mine[j] != mine[i]
                     k = np.flatnonzero(fits) + i + 1
-                    k = k[reach(n, pos, k, i, percent)]
                     if not len(k):
                         continue
-                    most = n[k] + n[i] - 2 * needed(n[k], n[i], percent)
-                    differ = np.bitwise_count(sketch[k, :8] ^ sketch[i, :8]).sum(axis=1, dtype=np.int64)
-                    k, most, differ = k[differ <= most], most[differ <= most], differ[differ <= most]
-                    differ += np.bitwise_count(sketch[k, 8:] ^ sketch[i, 8:]).sum(axis=1, dtype=np.int64)
-                    k, differ = k[differ <= most], differ[differ <= most]
+                    differ = within(sketch[k], sketch[i : i + 1], n[k], n[i : i + 1], percent)
+                    k, differ = k[differ >= 0], differ[differ >= 0]
                     if not len(k):
                         continue
                     if nearest:
@@ -334,38 +358,26 @@ def cross_pairs(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
         if given:
             yield distinct()
 
-    order = ["head", "gram", "first", "second"]
-    return dealt.repartition("head", "first", "second").sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def texts_of(entries: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The text of a document for each set that has an entry."""
-    ids = saved(entries.select("node").distinct().join(nodes.select("node", "rep"), "node"), "candidates")
-    small = ids.count() <= BROADCAST_IDS
-    return saved(docs.join(F.broadcast(ids) if small else ids, docs["doc_id"] == ids["rep"]).select("node", "text"), "texts")
+    order = ["head", "first", "second"]
+    return dealt.repartition(*order).sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Those of ``pairs(a, b)`` of nodes whose sets link, judged on whole texts."""
+    """Those of ``pairs(a, b)`` of nodes whose sets link, judged on the words of the whole texts."""
     # the leaders, which many pairs share, come last: their texts aren't shuffled once for each pair
-    joined = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    joined = pairs.join(one, "a").join(two, "b")
 
     def run(batches):
-        sets: dict[int, np.ndarray] = {}
-
-        def set_of(node, data):
-            if (grams := sets.get(node)) is None:
-                if len(sets) > 256:
-                    sets.clear()
-                grams = sets[node] = shingles(data, words)
-            return grams
-
+        last: tuple = (None, set())
         for batch in batches:
             left, right = [], []
             for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), byte_rows(batch.column("text_a")), byte_rows(batch.column("text_b")), strict=True):
-                one, two = set_of(a, x), set_of(b, y)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * both >= percent * (len(one) + len(two) - both):
+                if last[0] != b:
+                    last = (b, word_set(y, words))
+                mine = word_set(x, words)
+                both = len(mine & last[1])
+                if 100 * both >= percent * (len(mine) + len(last[1]) - both):
                     left.append(a)
                     right.append(b)
             yield batch_of(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
@@ -379,36 +391,45 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Words are maximal runs of bytes other than blanks, tabs and line ends, A-Z lower-cased. Texts of fewer than
     ``words`` words have their whole sequence as one shingle. Null, empty and blank texts have the empty set and
     are components of their own. Rows that share a ``doc_id`` must share a text and come out each. Rows without a
-    ``doc_id`` link with nothing and have no component: it is null. An empty table gives an empty result. Sets are known by 64-bit hashes: among n different sets some two are taken for
-    one with a probability of about n^2 / 2^65.
+    ``doc_id`` link with nothing and have no component: it is null. An empty table gives an empty result. Links are
+    judged on words. Equal sets are known by 126 bits from two
+    independent hashes of their words; shingles are counted by 64.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bounded_batches(docs.sparkSession)
-    found = saved(features(docs, words, percent), "features")
-    last = last_shingles(found)
-    nodes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    entries = saved(shared_entries(index_entries(docs.where("doc_id IS NOT NULL"), last, words, percent), percent), "entries")
-    led = saved(led_entries(entries.join(nodes.select("node", "sketch"), "node"), percent), "led-entries")
-    texts = texts_of(led, nodes, docs)
-
-    star = led.where("leader IS NOT NULL").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = verified(star, texts, words, percent, "star")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    with_prefix = saved(features(docs, words, percent), "features")
+    last = last_shingles(with_prefix)
+    found = saved(with_prefix.drop("prefix"), "sets")
+    forget(spark, with_prefix)
+    nodes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
+    shared = saved(shared_entries(index_entries(docs.where("doc_id IS NOT NULL"), last, words, percent), percent), "entries")
+    # should two sets share half a name, both come out here
+    heads = nodes.select(F.col("one").alias("head"), F.col("n").alias("head_n"), F.col("node").alias("head_node"))
+    placed = shared.join(nodes.select("one", "n", "node"), ["one", "n"]).join(heads, ["head", "head_n"])
+    families = saved(placed.select(F.col("head_node").alias("head"), "head_n", "node", "n").distinct(), "families")
+    forget(spark, shared)
+    texts = sketched(docs, families.select("node").distinct(), words)
+    sketches = texts.select("node", "sketch")
+
+    links = verified(star_pairs(families, sketches, percent), texts, words, percent, "star")
     while True:
         group = connected_components(links, "components")
         labels = group.withColumnsRenamed({"component": "label"})
-        labelled = led.drop("leader").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = verified(cross_pairs(labelled, percent, nearest=True), texts, words, percent, "nearest")
+        more = verified(cross_pairs(families, labels, sketches, percent, nearest=True), texts, words, percent, "nearest")
         if more.isEmpty():
             break
         links = group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-    rest = verified(cross_pairs(labelled, percent, nearest=False), texts, words, percent, "rest")
+    rest = verified(cross_pairs(families, labels, sketches, percent, nearest=False), texts, words, percent, "rest")
     if not rest.isEmpty():
         group = connected_components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "components")
-    named = nodes.select("node", "rep").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = named.join(least, "component").select("node", "component_id")
-    return found.select("doc_id", "n", "node").join(answer, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    for done in (families, texts):
+        forget(spark, done)
+    # a node is its smallest doc_id, so a component's smallest node is its smallest doc_id
+    answer = nodes.select("one", "two", "node").join(group, "node", "left").select("one", "two", F.coalesce("component", "node").alias("component_id"))
+    own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return found.join(answer, ["one", "two"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 

@@ -130,6 +130,34 @@ def test_jaccard_join_without_ids(spark):
     assert sorted(kept, key=str) == sorted([r for r in rows if r[0] != 2], key=str)
 
 
+def test_jaccard_join_compares_words(spark):
+    """Words of which hashes that are polynomials of their letters can't tell: a structured word and its complement."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(frame(spark, [(1, word), (2, other), (3, word), (4, word + " x"), (5, other + " x")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_blocks_of_lists_are_skipped_only_if_nothing_links():
+    rng = np.random.default_rng(9)
+    for percent in (80, 55):
+        rows = sorted({(int(rng.integers(30)), int(n := rng.integers(1, 40)), int(rng.integers(0, jaccard_join.prefix_size(int(n), percent)))) + (i,) for i in range(600)})
+        gram, n, pos, _ = (np.array(x) for x in zip(*rows))
+        room = np.minimum((n - pos)[:, None], (n - pos)[None])
+        meet = (gram[:, None] == gram[None]) & (room >= jaccard_join.needed(n[:, None], n[None], percent)) & ~np.eye(len(n), dtype=bool)
+        assert (jaccard_join.linkable(gram, n, pos, percent) == meet.any(axis=1)).all()
+
+
+def test_jaccard_join_survives_half_names_that_clash(spark, corpus, monkeypatch):
+    for name in ("features", "index_entries"):
+        monkeypatch.setattr(jaccard_join, name, lambda *args, real=getattr(jaccard_join, name): real(*args).withColumn("one", (F.col("n") % 3).cast("long")))
+    rows = [r for r in corpus if r[1] is None or len(r[1]) < 900][:70]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(frame(spark, rows)).collect()}
+    assert got == brute.similar(rows)
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.similar_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.similar_components(frame(spark, [(4, None), (4, None)])).collect()] == [(4, 0, 4)] * 2
