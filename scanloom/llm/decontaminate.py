@@ -3,7 +3,7 @@
 The windows of all benchmark items are hashed into a sorted array that every task gets. Each text's windows
 are hashed and looked up there; every hit is verified word by word before it counts. A benchmark that is too large for
 that is worked through in slices, one broadcast after the other, and the hits of all slices are joined by
-key and text.
+key and text: what a row is judged on is its own text alone.
 """
 
 from __future__ import annotations
@@ -18,69 +18,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batch_of, byte_rows, row_groups
+from .arrow import batch_of, byte_rows, laid_out, row_groups
 from .shared import bounded_batches, saved
-from .textcore import WORD_BYTE, as_bytes, gram_hashes, lowered, word_hashes
+from .textcore import WORD_BYTE, Words, gram_hashes
 
 WORDS = 10
-#: Benchmarks up to so many characters are sent to every task; larger ones are worked through in slices of it.
-SLICE_BYTES = 32 << 20
-
-
-def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes; starts, ends and hashes of the words."""
-    low = lowered(data)
-    return (low, *word_hashes(low, WORD_BYTE))
+#: Benchmarks up to so many characters are sent to every task (with their index some six bytes for each); larger ones are
+#: worked through in slices of it.
+SLICE_BYTES = 16 << 20
+#: Texts that are looked at together.
+BATCH_BYTES = 1 << 20
 
 
 @dataclass
 class GramIndex:
-    """Windows of items: for each window length, sorted hashes, and for each hash its distinct windows with their items."""
+    """The windows of items, some 30 bytes each: by window length their sorted hashes, items and first words; and the items' words."""
 
-    sizes: dict[int, tuple[np.ndarray, list[list[tuple[tuple[bytes, ...], list[int]]]]]]
+    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted hashes, item and first word of each
     items: list[str]
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple[object, str | None]], n: int) -> GramIndex:
-        found: dict[int, dict[int, dict[tuple[bytes, ...], list[int]]]] = {}
-        items = []
-        for item_id, text in rows:
-            low, starts, ends, hashes = words_of(as_bytes(text))
-            if not len(hashes):
-                continue
-            raw = low.tobytes()
-            size = min(n, len(hashes))
-            items.append("" if item_id is None else str(item_id))
-            for i, h in enumerate(gram_hashes(hashes, size)):
-                window = tuple(raw[a:b] for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                owners = found.setdefault(size, {}).setdefault(int(h), {}).setdefault(window, [])
-                if not owners or owners[-1] != len(items) - 1:
-                    owners.append(len(items) - 1)
+        texts = [(text or "").encode("utf-8", "surrogatepass") for _, text in rows]
+        words = Words.of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), WORD_BYTE)
+        count, hashes = np.diff(words.first), words.hashes()
         sizes = {}
-        for size, by_hash in found.items():
-            keys = sorted(by_hash)
-            sizes[size] = (np.array(keys, np.uint64), [[(w, o) for w, o in by_hash[k].items()] for k in keys])
-        return cls(sizes, items)
-
-    def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, set[str]]:
-        """For each word whether an occurring window covers it, and the items with occurring windows."""
-        covered, owners = np.zeros(len(hashes) + 1, np.int32), set()
-        raw = None
-        for size, (keys, windows) in self.sizes.items():
+        for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+            mine = np.flatnonzero(count >= n if size == n else count == size)
+            per = count[mine] - size + 1
+            item = np.repeat(mine, per)
+            word = np.repeat(words.first[mine] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            found = gram_hashes(hashes, size)[word]
+            order = np.argsort(found, kind="stable")
+            sizes[size] = (found[order], item[order].astype(np.int32), word[order].astype(np.int32))
+        names = ["" if item is None else str(item) for item, _ in rows]
+        return cls(sizes, names, words.data.tobytes(), words.starts.astype(np.int32), words.ends.astype(np.int32))
+
+    @staticmethod
+    def said(data: bytes, starts: np.ndarray, ends: np.ndarray, at: int, size: int) -> bytes:
+        """A window's words with blanks, which no word has, between them."""
+        return b" ".join(data[a:b] for a, b in zip(starts[at : at + size].tolist(), ends[at : at + size].tolist(), strict=True))
+
+    def windows(self, size: int, begin: int, known: dict) -> dict[bytes, set[str]]:
+        """The items of each window that shares the hash at ``begin``."""
+        if (size, begin) not in known:
+            keys, item, word = self.sizes[size]
+            found: dict[bytes, set[str]] = {}
+            for r in range(begin, int(np.searchsorted(keys, keys[begin], "right"))):
+                found.setdefault(self.said(self.data, self.starts, self.ends, int(word[r]), size), set()).add(self.items[item[r]])
+            known[size, begin] = found
+        return known[size, begin]
+
+    def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+        """For each word whether an occurring window covers it, and for each text that is hit the items with occurring windows."""
+        hashes = words.hashes()
+        change, owners = np.zeros(len(hashes) + 1, np.int32), {}
+        text_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        raw, known = None, {}
+        for size, (keys, _, _) in self.sizes.items():
             grams = gram_hashes(hashes, size)
             if not len(grams):
                 continue
-            place = np.searchsorted(keys, grams)
-            place[place == len(keys)] = 0
-            for i in np.flatnonzero(keys[place] == grams):
-                raw = low.tobytes() if raw is None else raw
-                here = tuple(raw[a:b] for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                for window, items in windows[place[i]]:
-                    if window == here:
-                        covered[i] += 1
-                        covered[i + size] -= 1
-                        owners.update(items)
-        return np.cumsum(covered[:-1]) > 0, {self.items[i] for i in owners}
+            begin = np.searchsorted(keys, grams)
+            here = np.flatnonzero((keys[np.minimum(begin, len(keys) - 1)] == grams) & (text_of[: len(grams)] == text_of[size - 1 :]))
+            for at in here.tolist():
+                raw = words.data.tobytes() if raw is None else raw
+                if found := self.windows(size, int(begin[at]), known).get(self.said(raw, words.starts, words.ends, at, size)):
+                    change[at] += 1
+                    change[at + size] -= 1
+                    owners.setdefault(int(text_of[at]), set()).update(found)
+        return np.cumsum(change[:-1]) > 0, owners
 
 
 def slices(benchmark: DataFrame, item: str, text: str):
@@ -112,17 +122,17 @@ def slice_hits(docs: DataFrame, index, key: str, text: str) -> DataFrame:
     """``(key, begins, ends, items)`` of the documents that a slice of the benchmark hits."""
 
     def run(batches):
-        for batch in row_groups(batches, text):
+        for batch in row_groups(batches, text, BATCH_BYTES):
             keys, hashes, begins, ends, items = [], [], [], [], []
-            for k, h, data in zip(batch.column("_key").to_pylist(), batch.column("_hash").to_pylist(), byte_rows(batch.column(text)), strict=True):
-                hit, found = index.value.hits(*words_of(data))
-                if found:
-                    a, b = runs(hit)
-                    keys.append(k)
-                    hashes.append(h)
-                    begins.append(a.tolist())
-                    ends.append(b.tolist())
-                    items.append(sorted(found))
+            words = Words.of(*laid_out(batch.column(text)), WORD_BYTE)
+            hit, found = index.value.hits(words)
+            for i in sorted(found):
+                a, b = runs(hit[words.first[i] : words.first[i + 1]])
+                keys.append(batch.column("_key")[i].as_py())
+                hashes.append(batch.column("_hash")[i].as_py())
+                begins.append(a.tolist())
+                ends.append(b.tolist())
+                items.append(sorted(found[i]))
             yield batch_of(_key=pa.array(keys, pa.string()), _hash=pa.array(hashes, pa.string()), _begins=pa.array(begins, pa.list_(pa.int32())), _ends=pa.array(ends, pa.list_(pa.int32())), _items=pa.array(items, pa.list_(pa.string())))
 
     return docs.select(*row_name(docs, key, text), text).mapInArrow(run, "_key string, _hash string, _begins array<int>, _ends array<int>, _items array<string>")
@@ -154,23 +164,27 @@ def judged(docs: DataFrame, benchmark: DataFrame, n: int, key: str, text: str, i
         source = docs.select(*source.columns, *row_name(docs, key, text)).join(whole, ["_key", "_hash"], "left")
 
     def run(batches):
-        for batch in row_groups(batches, text):
+        for batch in row_groups(batches, text, BATCH_BYTES):
             rows = []
+            words = Words.of(*laid_out(batch.column(text)), WORD_BYTE)
             given = None if index is not None else [batch.column(c).to_pylist() for c in ("_begins", "_ends", "_items")]
-            for i, data in enumerate(byte_rows(batch.column(text))):
-                low, starts, ends, hashes = words_of(data)
+            marked, owners = index.value.hits(words) if given is None else (None, None)
+            for i in range(batch.num_rows):
+                a, b = int(words.first[i]), int(words.first[i + 1])
                 if given is None:
-                    hit, items = index.value.hits(low, starts, ends, hashes)
+                    hit, items = marked[a:b], owners.get(i, ())
                 else:
-                    hit, items = covered_words(len(hashes), given[0][i] or [], given[1][i] or []), set(given[2][i] or [])
+                    hit, items = covered_words(b - a, given[0][i] or [], given[1][i] or []), set(given[2][i] or [])
                 clean = None
                 if remove and hit.any():
-                    keep = np.ones(len(data), bool)
-                    for a, b in zip(*runs(hit), strict=True):
-                        keep[starts[a] : ends[b - 1]] = False
+                    begin, end = int(words.places[i]), int(words.places[i + 1])
+                    keep = np.ones(end - begin, bool)
+                    for x, y in zip(*runs(hit), strict=True):
+                        keep[words.starts[a + x] - begin : words.ends[a + y - 1] - begin] = False
+                    data = next(byte_rows(batch.column(text).slice(i, 1)))
                     clean = data[keep].tobytes().decode("utf-8", "replace")
                 said = ",".join(sorted(items))
-                rows.append((len(hashes), int(hit.sum()), len(items), hashlib.sha256(said.encode()).hexdigest(), bool(hit.any()), clean))
+                rows.append((b - a, int(hit.sum()), len(items), hashlib.sha256(said.encode()).hexdigest(), bool(hit.any()), clean))
             n_words, n_hit, n_items, sha, bad, clean = zip(*rows, strict=True)
             out = {c: batch.column(c) for c in extra}
             if remove:
