@@ -9,11 +9,13 @@ A file holds documents in ascending order of key. Layout, all numbers little-end
 * the Bloom filter: bits that ``HASHES`` double-hashed probes of each key set;
 * the footer of fixed size: offsets of index and filter, counts, first and last key, width, and a magic word.
 
-A key is the 64-bit identifier with its sign bit flipped, big-endian, so bytes sort like numbers.
+A key is the 64-bit identifier with its sign bit flipped, big-endian, so bytes sort like numbers; a document without an
+identifier has the empty key, before all others.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from bisect import bisect_left
@@ -38,12 +40,12 @@ FOOTER = struct.Struct("<QQQQQ8s8sB7x8s")
 INDEX_ENTRY = struct.Struct("<8sQI")
 
 
-def key_bytes(doc_id: int) -> bytes:
-    return struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+def key_bytes(doc_id: int | None) -> bytes:
+    return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
 
 
-def key_number(key: bytes) -> int:
-    return struct.unpack(">Q", key)[0] - (1 << 63)
+def key_number(key: bytes) -> int | None:
+    return None if not key else struct.unpack(">Q", key)[0] - (1 << 63)
 
 
 def varint(n: int) -> bytes:
@@ -81,14 +83,12 @@ class TableWriter:
         self.block, self.last, self.size, self.tokens = [], b"", 0, 0
         self.block_bytes = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key = key_bytes(doc_id)
         if self.keys and key < self.keys[-1]:
             raise ValueError("keys must ascend")
-        shared = 0
-        while shared < 8 and self.block and key[shared] == self.last[shared]:
-            shared += 1
-        entry = varint(shared) + varint(8 - shared) + key[shared:] + varint(len(ids)) + ids.astype(f"<u{self.width}").tobytes()
+        shared = len(os.path.commonprefix((key, self.last))) if self.block else 0
+        entry = varint(shared) + varint(len(key) - shared) + key[shared:] + varint(len(ids)) + ids.astype(f"<u{self.width}", copy=False).tobytes()
         self.block.append(entry)
         self.block_bytes += len(entry)
         self.keys.append(key)
@@ -110,7 +110,8 @@ class TableWriter:
         index = b"".join(self.index)
         bits = max(64, BLOOM_BITS * len(self.keys))
         marked = np.zeros((bits + 7) // 8 * 8, np.uint8)
-        marked[probes(self.keys, bits).ravel()] = 1
+        if named := [k for k in self.keys if k]:
+            marked[probes(named, bits).ravel()] = 1
         bloom = np.packbits(marked, bitorder="little").tobytes()
         first, last = (self.keys[0], self.keys[-1]) if self.keys else (bytes(8), bytes(8))
         footer = FOOTER.pack(self.size, len(index), bits, len(self.keys), self.tokens, first, last, self.width, MAGIC)
@@ -156,10 +157,13 @@ class TableReader:
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes([key], self.bits)[0].tolist()):
             return None
         i = bisect_left(self.index, key, key=lambda e: e[0])
-        if i < len(self.index):
+        while i < len(self.index):
             for found, ids in self.block(i):
                 if found == doc_id:
                     return ids
+            if self.index[i][0] != key:
+                break
+            i += 1  # a block that ends with documents without an identifier, whose last key reads as the least
         return None
 
 
@@ -169,8 +173,8 @@ MANIFEST = "path string, part int, file int, n_docs long, n_tokens long, first_i
 def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes every document, appends ``end_id`` and writes files in key order; returns the manifest.
 
-    Null texts have the end id alone. Rows that share a key are all kept, ordered by text. Rows without a key
-    can't be filed and raise an error. A task that is run again writes files of new names; only those of
+    Null texts have the end id alone. Rows that share a key are all kept, ordered by text. Rows without a key come first, are
+    read back by scans and can't be looked up. An empty table gives no files. A task that is run again writes files of new names; only those of
     the attempt that ended are in the manifest, which is itself saved in the shared folder.
     """
 
@@ -192,12 +196,11 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
                 done.append((f"{folder}/{name}", part, file, len(writer.keys), writer.tokens, key_number(writer.keys[0]), key_number(writer.keys[-1])))
             writer, file = TableWriter(width), file + 1
 
-        end = np.array([end_id], "<u4").tobytes()
         for batch in row_groups(batches, "text", 1 << 20):
-            for k, ids in zip(batch.column("key").to_pylist(), words.encode_column(batch.column("text")), strict=True):
-                if k is None:
-                    raise ValueError("a document without an identifier can't be filed")
-                writer.add(k, np.frombuffer(ids + end, "<u4"))
+            ids, bounds = words.encode_column(batch.column("text"), end_id)
+            ids, bounds = ids.astype(f"<u{width}"), bounds.tolist()
+            for k, a, b in zip(batch.column("key").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                writer.add(k, ids[a:b])
                 if writer.size >= FILE_BYTES:
                     close()
         close()

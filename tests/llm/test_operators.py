@@ -340,19 +340,50 @@ def ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS]
 
 
+def encoded(e, texts):
+    ids, bounds = e.encode_column(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def test_encoder_equals_the_library(ids):
-    for cached in (10, 10**6):
-        e = Encoder(default_tokenizer(), cached)
+    for slots, store in ((4, 16), (1 << 12, 1 << 12)):
+        e = Encoder(default_tokenizer(), slots=slots, store=store)
         for _ in range(2):
-            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(TEXTS)] == ids
+            assert encoded(e, TEXTS) == ids
+    assert encoded(e, []) == [] and encoded(e, [None, "", None]) == [[], [], []]
+    got, bounds = e.encode_column(pa.array(TEXTS, pa.string()).slice(2, 4), end_id=7)
+    assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*x, 7] for x in ids[2:6]]
+
+
+def test_encoder_takes_special_tokens_as_text_if_told():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_tokenizer())
+    t.encode_special_tokens = True
+    text = "a <|endoftext|> b<|endoftext|>"
+    assert encoded(Encoder(default_tokenizer(), special_as_text=True), [text]) == [t.encode(text, add_special_tokens=False).ids]
+    assert encoded(Encoder(default_tokenizer()), [text])[0].count(50256) == 2
+
+
+@pytest.mark.parametrize("part", [1 << 21, 40])
+def test_encoder_cuts_where_the_library_does(monkeypatch, part):
+    from tokenizers import Tokenizer
+
+    from scanloom.llm import encoder
+
+    monkeypatch.setattr(encoder, "PART", part)
+    t, rng = Tokenizer.from_file(default_tokenizer()), np.random.default_rng(3)
+    parts = ["a", "Be", "the", "don", "'t", "'S", "'", "''", " ", " ", "  ", "\n", "\t", "\r\n", ".", ",", "!?", "(", "7", "42", "é", "ß", "×", "÷", "日", "\u0301", "\u00a0", "\u2003", "\u200b", "\x0b", "\x1d", "\x00", "_", "-", "😀", "<|endoftext|>", "<|", "supercalifragilisticexpialidocious", "\u2019", "\u3000", "\u0085"]
+    texts = ["".join(rng.choice(parts[:31] if i % 3 else parts, int(rng.integers(0, 30)))) for i in range(4000)]
+    e = Encoder(default_tokenizer(), slots=1 << 10, store=1 << 10)
+    assert encoded(e, texts) == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_tables(spark, ids, tmp_path):
-    rows = [(3 * i - 7, t) for i, t in enumerate(TEXTS)]
+    rows = [(3 * i - 7 if i else None, t) for i, t in enumerate(TEXTS)]
     manifest = token_table.write_tables(frame(spark, rows), f"file://{tmp_path}/t", default_tokenizer(), 0)
     got = {r["doc_id"]: tuple(r)[1:] for r in token_table.read_tables(manifest).collect()}
     start = 0
@@ -361,7 +392,7 @@ def test_token_tables(spark, ids, tmp_path):
         assert got[i] == (start, len(x), zlib.crc32(x.tobytes()))
         start += len(x)
     readers = [token_table.TableReader(r["path"]) for r in manifest.collect()]
-    for (i, _), x in zip(rows, ids, strict=True):
+    for (i, _), x in zip(rows[1:], ids[1:], strict=True):
         assert [r.get(i).tolist() for r in readers if r.get(i) is not None] == [[*x, 0]]
     assert all(r.get(10**9) is None for r in readers)
 
@@ -376,12 +407,21 @@ def test_token_tables_repeat_and_roll_over(spark, tmp_path, monkeypatch):
     assert token_table.read_tables(token_table.write_tables(frame(spark, []), f"file://{tmp_path}/e", default_tokenizer(), 0)).count() == 0
 
 
-def test_token_table_file_round_trip():
+@pytest.mark.parametrize("block", [64 << 10, 8])
+def test_token_table_file_round_trip(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(token_table, "BLOCK_BYTES", block)
     w = token_table.TableWriter(4)
+    w.add(None, np.arange(3))
+    w.add(None, np.arange(2))
+    w.add(-(1 << 63), np.arange(1))
     for i in range(-50, 50, 3):
         w.add(i, np.arange(abs(i)))
     with pytest.raises(ValueError):
         w.add(-1000, np.arange(2))
+    (tmp_path / "x.slt").write_bytes(w.bytes())
+    r = token_table.TableReader(f"file://{tmp_path}/x.slt")
+    assert [(k, len(x)) for k, x in r.scan()] == [(None, 3), (None, 2), (-(1 << 63), 1)] + [(i, abs(i)) for i in range(-50, 50, 3)]
+    assert len(r.get(-(1 << 63))) == 1 and len(r.get(-50)) == 50 and r.get(51) is None
 
 
 def check_packed(rows, texts, ids, window):
@@ -434,6 +474,19 @@ def test_packer_settles_when_many_windows_are_open():
     assert sum(r[2] for r in p.rows) == sum(map(len, docs))
 
 
+def test_packer_cuts_few_documents_that_a_window_could_hold():
+    p, rng = packing.Packer(256), np.random.default_rng(2)
+    for i in range(600):
+        p.add(i, np.arange(rng.integers(10, 200), dtype="<u4"))
+    p.settle(end=True)
+    pieces, filled = defaultdict(int), defaultdict(int)
+    for doc_id, _, length, _, _, sequence, _ in p.rows:
+        pieces[doc_id] += 1
+        filled[sequence] += length
+    assert sum(n > 1 for n in pieces.values()) <= 0.05 * len(pieces)
+    assert all(n & (n - 1) == 0 for n in filled.values())
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 URLS = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q=/es/", "http://example.org", "http://x.com/fr/1#a", "http://com/de/", "http://notcom/de/", "ftp://b.example.org/en/2", "no scheme", "", None, "a://b://example.com/fr/", "http://example.com?x=/fr/", "http://example.org/es", "http://x.org/" + "a" * 100_000]
