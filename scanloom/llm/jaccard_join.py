@@ -402,7 +402,7 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     last = last_shingles(with_prefix)
     found = saved(with_prefix.drop("prefix"), "sets")
     forget(spark, with_prefix)
-    nodes = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
+    nodes = saved(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
     shared = saved(shared_entries(index_entries(docs.where("doc_id IS NOT NULL"), last, words, percent), percent), "entries")
     # should two sets share half a name, both come out here
     heads = nodes.select(F.col("one").alias("head"), F.col("n").alias("head_n"), F.col("node").alias("head_node"))
