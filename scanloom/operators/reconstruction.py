@@ -24,7 +24,8 @@ MARGIN, MAX_PITCH, MIN_RANGE, AXIS_ANGLE, MIN_SEGMENT = 0.3, 0.35, 1.8, 3.0, 30.
 
 def upright_turns(frames: DataFrame, by: list[str]) -> DataFrame:
     """Quarter turns that make a camera's images upright, from the upper medians of how its x and y axes rise."""
-    m = frames.groupBy(*by).agg(R.upper_median(F.col("r")[3]).alias("_x"), R.upper_median(F.col("r")[4]).alias("_y"))
+    axes = frames.select(*by, F.col("r")[3].alias("_x"), F.col("r")[4].alias("_y"))
+    m = R.order_statistics(axes, by, "_x", {"_x": R.upper_median}).join(R.order_statistics(axes, by, "_y", {"_y": R.upper_median}), by)
     sideways = F.abs("_x") > F.abs("_y")
     turns = F.when(~sideways & (F.col("_y") <= 0), 0).when(~sideways, 2).when(F.col("_x") > 0, 3).otherwise(1)
     return m.select(*by, turns.alias("turns"))
@@ -72,13 +73,14 @@ def best_links(matches: DataFrame, least: int = MIN_INLIERS) -> DataFrame:
 
 
 def inside_with_margin(points: DataFrame, edges: DataFrame, key: list[str], x: str, y: str, margin: float = MARGIN) -> DataFrame:
-    """Points inside a polygon and at least ``margin`` from all its edges; polygons are a plan's, so their edges are broadcast."""
+    """Points inside a polygon and at least ``margin`` from all its edges; a point meets the edges of its polygons only."""
     inside = R.in_polygons(points, edges, key, x, y)
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     squared = dx * dx + dy * dy
     t = F.when(squared == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col(x) - F.col("x0")) * dx + (F.col(y) - F.col("y0")) * dy) / F.nullif(squared, F.lit(0.0)))))
     away = F.hypot(F.col("x0") + t * dx - F.col(x), F.col("y0") + t * dy - F.col(y))
-    near = points.select(*key, x, y).join(inside, key).join(F.broadcast(edges), "polygon")
+    own = dict.fromkeys([*key, x, y])
+    near = points.select(*own).join(inside, key).join(edges, "polygon")
     return near.groupBy(*key, "polygon").agg(F.min(away).alias("distance")).where(F.col("distance") >= margin)
 
 
@@ -179,4 +181,8 @@ def decomposition(walls: DataFrame) -> DataFrame:
     before = F.coalesce(F.lag("measured").over(order), F.last("measured").over(whole))
     after = F.coalesce(F.lead("measured").over(order), F.first("measured").over(whole))
     ends = F.when(before & after, "both ends measured").when(before | after, "one end measured").otherwise("no end measured")
-    return walls.withColumn("ends", ends).groupBy("ends").agg(F.count("*").alias("pairs"), F.count_if(F.abs("delta") <= 0.01).alias("passed"), R.upper_median(F.abs("delta")).alias("median"), R.upper_median(F.abs("offset_mismatch")).alias("median_offset"))
+    split = walls.select(ends.alias("ends"), F.abs("delta").alias("median"), F.abs("offset_mismatch").alias("median_offset"))
+    found = split.groupBy("ends").agg(F.count("*").alias("pairs"), F.count_if(F.col("median") <= 0.01).alias("passed"))
+    for c in ("median", "median_offset"):
+        found = found.join(R.order_statistics(split, ["ends"], c, {c: R.upper_median}), "ends")
+    return found

@@ -5,6 +5,7 @@ What is summed across partitions is summed as whole micrometres, so results don'
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,27 +156,26 @@ def weighted_peaks(bins: DataFrame, reach: int, least: float, by: tuple[str, ...
 # -- order statistics ----------------------------------------------------------------------------------------------
 
 
-def index_percentile(x: Column, p: float) -> Column:
-    """The element at index floor(p (n - 1)) of the sorted values: one of them, not an interpolation.
+def order_statistics(rows: DataFrame, by: list[str], x: str, at: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each name the element of a group's sorted values at an index that follows from their number.
 
-    ``percentile_disc``-like in meaning, but the index rule is its own; the values of a group are gathered, so this is
-    for groups of bounded size. ``index_percentile_by_rank`` has no such bound.
+    Equal values are counted first, next to where they lie; running sums over the sorted counts, which spill, then say whose turn it is.
     """
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, F.floor(F.lit(p) * (F.size(values) - 1)).cast("int") + 1)
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_k"))
+    order = Window.partitionBy(*by).orderBy(x)
+    ranked = counts.withColumns({"_to": F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_k").over(Window.partitionBy(*by))})
+    hit = lambda i: (F.col("_to") - F.col("_k") <= i) & (i < F.col("_to"))
+    return ranked.groupBy(*by).agg(*[F.max(F.when(hit(index(F.col("_n"))), F.col(x))).alias(name) for name, index in at.items()])
 
 
-def index_percentile_by_rank(rows: DataFrame, by: list[str], x: str, ps: dict[str, float]) -> DataFrame:
-    """The same by rank within sorted partitions, which spill."""
-    order = Window.partitionBy(*by).orderBy(x)
-    ranked = rows.where(F.col(x).isNotNull()).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == F.floor(F.lit(p) * (F.col("_n") - 1)), F.col(x))).alias(name) for name, p in ps.items()])
+def index_percentile(p: float) -> Callable[[Column], Column]:
+    """The index floor(p (n - 1)): one of the values, not an interpolation."""
+    return lambda n: F.floor(F.lit(p) * (n - 1))
 
 
-def upper_median(x: Column) -> Column:
-    """The element at index n div 2 of the sorted values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_median(n: Column) -> Column:
+    """The index n div 2."""
+    return F.floor(n / 2)
 
 
 # -- sequences -------------------------------------------------------------------------------------------------------
@@ -194,21 +194,61 @@ def crossings(rows: DataFrame, by: list[str], order: list[str], side: Column) ->
     return signed.withColumn("_last", F.lag("_sign").over(window)).where(F.col("_last") == -F.col("_sign")).drop("_sign", "_last")
 
 
+RANGES = 256
+
+
+def in_ranges(rows: DataFrame, at: str, parts: int = RANGES) -> DataFrame:
+    """``rows`` with ``_range``, the number of the equal part of the whole span that ``at`` lies in, so that a long group is sorted in many tasks."""
+    place = F.col(at).cast("timestamp").cast("double") if "date" in (kind := dict(rows.dtypes)[at]) or "timestamp" in kind else F.col(at).cast("double")
+    span = rows.select(place.alias("p")).agg(F.min("p").alias("low"), F.max("p").alias("high")).first()
+    width = (span["high"] - span["low"]) / parts if span["low"] is not None else 0.0
+    number = F.least(F.floor((place - F.lit(span["low"])) / F.lit(width)), F.lit(parts - 1)).cast("int") if width > 0 else F.lit(0)
+    return rows.withColumn("_range", number)
+
+
+def carried(refs: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """For each group and range the last value of the ranges before (``_before``) and the first of those after (``_after``), from the ranges' extremes."""
+    ends = refs.groupBy(*by, "_range").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    order = Window.partitionBy(*by).orderBy("_range")
+    back = order.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each group and range at most
+    return ends.select(*by, "_range", F.max("_high").over(back).alias("_before"), F.min("_low").over(ahead).alias("_after"))
+
+
+def known(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+
+
+def tagged(left: DataFrame, right: DataFrame, at: str, values: list[str], by: tuple[str, ...]) -> DataFrame:
+    """Both sides under each other: the left rows, and for each right row its time and values as ``_r``; with their ranges and what these inherit."""
+    picked = F.struct(F.col(at), *[F.col(c) for c in values])
+    kind = right.select(picked.alias("p")).schema["p"].dataType
+    columns = left.columns
+    mine = left.select(*columns, F.lit(None).cast(kind).alias("_r"))
+    refs = right.select(*[F.col(c) if c in (at, *by) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in columns], picked.alias("_r"))
+    both = in_ranges(mine.unionByName(refs), at)
+    # every group has every of its ranges here, so that those without right rows inherit too
+    inherited = carried(both, "_r", by)
+    return both.join(inherited, [*by, "_range"])
+
+
 def forward_asof(left: DataFrame, right: DataFrame, at: str, values: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """For each left row the first right row at or after it, or the last of all where there is none after.
 
-    One sorted pass over both sides; ``by`` splits it. Among right rows at one time the smallest values win.
+    Both sides are sorted together once, by group and range of time; what comes after a range is known from the ranges' first
+    rows. Among right rows at one time the smallest values win. Left rows without a time or a group match nothing.
     """
     names = [f"r_{c}" for c in [at, *values]]
-    picked = F.struct(F.col(at), *[F.col(c) for c in values])
-    columns = left.columns
-    tagged = left.select(*columns, F.lit(None).cast(right.select(picked.alias("p")).schema["p"].dataType).alias("_r"), F.lit(0).alias("_side"))
-    refs = right.select(*[F.col(c) if c in (at, *by) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in columns], picked.alias("_r"), F.lit(1).alias("_side"))
-    both = tagged.unionByName(refs)
-    order = Window.partitionBy(*by).orderBy(at, "_side")
-    after = F.min("_r").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    last = F.max("_r").over(Window.partitionBy(*by))
-    return both.withColumn("_m", F.coalesce(after, last)).where("_side = 0").select(*columns, *[F.col(f"_m.{c}").alias(n) for c, n in zip([at, *values], names, strict=True)])
+    placed = known(at, *by)
+    both = tagged(left.where(placed), right.where(placed), at, values, by)
+    here = Window.partitionBy(*by, "_range").orderBy(F.desc(at), F.col("_r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = right.where(placed).groupBy(*by).agg(F.max(F.struct(F.col(at), *[F.col(c) for c in values])).alias("_last"))
+    found = both.withColumn("_m", F.coalesce(F.min("_r").over(here), F.col("_after"))).where(F.col("_r").isNull())
+    found = found.join(last, list(by), "left") if by else found.join(last, how="left")
+    found = found.withColumn("_m", F.coalesce("_m", "_last"))
+    matched = found.select(*left.columns, *[F.col(f"_m.{c}").alias(n) for c, n in zip([at, *values], names, strict=True)])
+    return matched.union(left.where(~placed).select(*left.columns, *[F.lit(None).cast(matched.schema[n].dataType).alias(n) for n in names]))
 
 
 def merged_intervals(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
@@ -231,19 +271,21 @@ def intervals_without(spans: DataFrame, cuts: DataFrame, by: list[str], start: s
 
 
 def interpolated(samples: DataFrame, knots: DataFrame, at: str, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Linear between knots, constant beyond them; one sorted pass over samples and knots."""
-    columns = samples.columns
-    mine = samples.select(*columns, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_side"))
-    theirs = knots.select(*[F.col(c) if c in (at, *by) else F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in columns], F.col(value).cast("double").alias("_v"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(*by).orderBy(at, "_side")
-    point = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("t"), F.col("_v").alias("v")))
-    back = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = mine.unionByName(theirs).withColumns({"_a": back, "_b": ahead}).where("_side = 1")
-    ratio = (F.col(at) - F.col("_a.t")) / (F.col("_b.t") - F.col("_a.t"))
-    between = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * ratio
-    result = F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_a.t") == F.col("_b.t")), F.col("_a.v")).otherwise(between)
-    return both.select(*columns, result.alias(value))
+    """Linear between knots, constant beyond them; samples and knots are sorted together, by group and range of time.
+
+    Samples without a time or a group, or of a group without knots, have no value; of knots at one time any may count.
+    """
+    columns, placed = samples.columns, known(at, *by)
+    both = tagged(samples.where(placed), knots.where(placed).select(*by, at, F.col(value).cast("double").alias("_v")), at, ["_v"], by)
+    ranged = [*by, "_range"]
+    upto = Window.partitionBy(*ranged).orderBy(F.col(at), F.col("_r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*ranged).orderBy(F.desc(at), F.col("_r").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.withColumns({"_a": F.coalesce(F.max("_r").over(upto), "_before"), "_b": F.coalesce(F.min("_r").over(after), "_after")}).where(F.col("_r").isNull())
+    low, high = F.col("_a").getField(at), F.col("_b").getField(at)
+    ratio = (F.col(at) - low) / F.nullif(high - low, F.lit(0.0))
+    between = F.col("_a._v") + (F.col("_b._v") - F.col("_a._v")) * ratio
+    result = F.when(F.col("_a").isNull(), F.col("_b._v")).when(F.col("_b").isNull() | (low == high), F.col("_a._v")).otherwise(between)
+    return ends.select(*columns, result.alias(value)).union(samples.where(~placed).select(*columns, F.lit(None).cast("double").alias(value)))
 
 
 # -- spatial joins -----------------------------------------------------------------------------------------------------
@@ -266,11 +308,17 @@ def nearest(points: DataFrame, sites: DataFrame, key: list[str], x: str, site: s
     return found.groupBy(*key).agg(F.min(F.struct("distance", site)).alias("_m")).select(*key, F.col(f"_m.{site}").alias(site), F.col("_m.distance").alias("distance"))
 
 
-def in_polygons(points: DataFrame, edges: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    """Even-odd rule; ``edges(polygon, x0, y0, x1, y1)`` are few (a plan's rooms) and broadcast. A row for each point and polygon around it."""
+def in_polygons(points: DataFrame, edges: DataFrame, key: list[str], x: str, y: str, size: float = 5.0) -> DataFrame:
+    """Even-odd rule with ``edges(polygon, x0, y0, x1, y1)``: a row for each point and polygon around it.
+
+    Polygons are filed under the cells of ``size`` that their boxes touch, so a point meets the edges of those near it only.
+    """
+    box = edges.groupBy("polygon").agg(*[f(g(a, b)).alias(n) for n, f, g, a, b in (("_x0", F.min, F.least, "x0", "x1"), ("_x1", F.max, F.greatest, "x0", "x1"), ("_y0", F.min, F.least, "y0", "y1"), ("_y1", F.max, F.greatest, "y0", "y1"))])
+    own = list(dict.fromkeys([*key, x, y]))
+    near = range_join(points.select(*own), box, x, y, ("_x0", "_x1", "_y0", "_y1"), size).select(*own, "polygon")
     straddles = (F.col("y0") > F.col(y)) != (F.col("y1") > F.col(y))
     cut = (F.col("x1") - F.col("x0")) * (F.col(y) - F.col("y0")) / (F.col("y1") - F.col("y0")) + F.col("x0")
-    hit = points.join(F.broadcast(edges), straddles & (F.col(x) < cut))
+    hit = near.join(edges.where("y0 <> y1"), "polygon").where(straddles & (F.col(x) < cut))
     return hit.groupBy(*key, "polygon").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
 
 

@@ -269,16 +269,14 @@ def weighted_rms_scatter(spark, sf_dir):
 SELECT event_type, list_sort(list(value))[1 + floor(0.3::DOUBLE * (count(*) - 1))::INT] AS p30, list_sort(list(value))[1 + (count(*) // 2)::INT] AS upper_median FROM events GROUP BY 1
 """)
 def index_percentile(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    low = R.index_percentile_by_rank(events, ["event_type"], "value", {"p30": 0.3})
-    return low.join(events.groupBy("event_type").agg(R.upper_median(F.col("value")).alias("upper_median")), "event_type")
+    return R.order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", {"p30": R.index_percentile(0.3), "upper_median": R.upper_median})
 
 
 @query("""
 SELECT user_id, list_sort(list(value))[1 + floor(0.1::DOUBLE * (count(*) - 1))::INT] AS low, list_sort(list(value))[1 + floor(0.9::DOUBLE * (count(*) - 1))::INT] AS high FROM events GROUP BY 1
 """)
 def extent_10_90(spark, sf_dir):
-    return R.index_percentile_by_rank(table(spark, sf_dir, "events"), ["user_id"], "value", {"low": 0.1, "high": 0.9})
+    return R.order_statistics(table(spark, sf_dir, "events"), ["user_id"], "value", {"low": R.index_percentile(0.1), "high": R.index_percentile(0.9)})
 
 
 @query("""
@@ -329,7 +327,7 @@ def time_interpolation(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT o_custkey % 7 AS k, o_orderdate AS t, min(o_orderkey) AS id FROM orders GROUP BY ALL),
-l AS (SELECT o_orderkey, o_custkey % 7 AS k, o_orderdate + INTERVAL 36 HOUR AS t FROM orders WHERE o_orderkey % 5 = 0),
+l AS (SELECT o_orderkey, o_custkey % 7 AS k, o_orderdate + INTERVAL 36 HOUR AS t FROM orders),
 f AS (SELECT l.o_orderkey, l.k, r.t AS rt, r.id FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.t <= r.t),
 z AS (SELECT k, max(t) AS t, arg_max(id, t) AS id FROM r GROUP BY k)
 SELECT f.o_orderkey, coalesce(f.rt, z.t) AS r_t, coalesce(f.id, z.id) AS r_id FROM f JOIN z USING (k)
@@ -338,7 +336,7 @@ def asof_forward(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     keyed = orders.withColumn("k", F.col("o_custkey") % 7)
     refs = keyed.groupBy("k", F.col("o_orderdate").alias("t")).agg(F.min("o_orderkey").alias("id"))
-    left = keyed.where("o_orderkey % 5 = 0").select("o_orderkey", "k", F.expr("o_orderdate + INTERVAL 36 HOURS").alias("t"))
+    left = keyed.select("o_orderkey", "k", F.expr("o_orderdate + INTERVAL 36 HOURS").alias("t"))
     return R.forward_asof(left, refs, "t", ["id"], ("k",)).select("o_orderkey", "r_t", "r_id")
 
 
@@ -367,7 +365,7 @@ def interval_subtract(spark, sf_dir):
 
 # -- spatial joins -----------------------------------------------------------------------------------------------------
 
-BOXES = "SELECT p_partkey AS box, p_size::DOUBLE AS x0, p_size + 1.5::DOUBLE AS x1, (p_partkey % 10) / 100.0::DOUBLE AS y0, (p_partkey % 10) / 100.0::DOUBLE + 0.015 AS y1 FROM part WHERE p_partkey % 20 = 0"
+BOXES = "SELECT p_partkey AS box, p_size::DOUBLE AS x0, p_size + 1.5::DOUBLE AS x1, (p_partkey % 10) / 100.0::DOUBLE AS y0, (p_partkey % 10) / 100.0::DOUBLE + 0.015 AS y1 FROM part"
 
 
 @query(f"""
@@ -375,13 +373,15 @@ WITH b AS ({BOXES}) SELECT b.box, count(*)::BIGINT AS n, sum(round(l_quantity *
 FROM lineitem JOIN b ON l_quantity BETWEEN x0 AND x1 AND l_discount BETWEEN y0 AND y1 GROUP BY 1
 """)
 def cell_range_join(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey % 20 = 0")
+    """Points at one place and boxes of one shape are counted first; each meets the other once."""
     y0 = (F.col("p_partkey") % 10) / F.lit(100.0)
-    boxes = part.select(F.col("p_partkey").alias("box"), F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 1.5).alias("x1"), y0.alias("y0"), (y0 + 0.015).alias("y1"))
-    rows = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("d"), "l_discount")
-    scaled = boxes.withColumns({"cy0": F.col("y0") * 100 - 0.5, "cy1": F.col("y1") * 100 + 0.5})
-    hit = R.range_join(rows, scaled, "l_quantity", "d", ("x0", "x1", "cy0", "cy1"), 2.0).where(F.col("l_discount").between(F.col("y0"), F.col("y1")))
-    return hit.groupBy("box").agg(F.count("*").alias("n"), F.sum(R.micro(F.col("l_quantity"))).alias("s_um"))
+    boxes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("box"), F.col("p_size").cast("double").alias("x0"), (F.col("p_size") + 1.5).alias("x1"), y0.alias("y0"), (y0 + 0.015).alias("y1"))
+    shapes = boxes.select("x0", "x1", "y0", "y1").distinct().withColumns({"cy0": F.col("y0") * 100 - 0.5, "cy1": F.col("y1") * 100 + 0.5})
+    places = table(spark, sf_dir, "lineitem").groupBy("l_quantity", "l_discount").agg(F.count("*").alias("n"), F.sum(R.micro(F.col("l_quantity"))).alias("s_um"))
+    scaled = places.withColumn("d", F.col("l_discount") * 100)
+    hit = R.range_join(scaled, shapes, "l_quantity", "d", ("x0", "x1", "cy0", "cy1"), 2.0).where(F.col("l_discount").between(F.col("y0"), F.col("y1")))
+    found = hit.groupBy("x0", "x1", "y0", "y1").agg(F.sum("n").alias("n"), F.sum("s_um").alias("s_um"))
+    return boxes.join(found, ["x0", "x1", "y0", "y1"]).select("box", "n", "s_um")
 
 
 @query("""
@@ -433,7 +433,7 @@ def cell_adjacency(spark, sf_dir):
 
 
 IOU = """
-WITH c AS (SELECT DISTINCT l_suppkey % 40 AS room, l_partkey % 50 AS cell, l_linenumber % 2 AS side FROM lineitem WHERE l_linenumber < 7),
+WITH c AS (SELECT DISTINCT l_suppkey % 40 AS room, l_partkey % 50 AS cell, l_linenumber % 2 AS side FROM lineitem),
 a AS (SELECT room AS a_room, cell FROM c WHERE side = 0), b AS (SELECT room AS b_room, cell FROM c WHERE side = 1),
 j AS (SELECT a_room, b_room, count(*) AS "both" FROM a JOIN b USING (cell) GROUP BY ALL),
 na AS (SELECT a_room, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT b_room, count(*) AS nb FROM b GROUP BY 1)
@@ -442,7 +442,7 @@ SELECT a_room, b_room, "both"::BIGINT AS "both", na::BIGINT AS na, nb::BIGINT AS
 
 
 def room_overlaps(spark, sf_dir):
-    cells = table(spark, sf_dir, "lineitem").where("l_linenumber < 7").select((F.col("l_suppkey") % 40).alias("room"), (F.col("l_partkey") % 50).alias("cell"), (F.col("l_linenumber") % 2).alias("side")).distinct()
+    cells = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("room"), (F.col("l_partkey") % 50).alias("cell"), (F.col("l_linenumber") % 2).alias("side")).distinct()
     return R.set_iou(cells.where("side = 0"), cells.where("side = 1"), ["room"], ["cell"])
 
 
@@ -561,14 +561,14 @@ def conformal_tau(spark, sf_dir):
 
 
 @query(f"""
-WITH p AS (SELECT * FROM ({PAIRS}) WHERE o_orderkey % 40 = 0), q AS (
-  SELECT a.o_orderpriority, a.o_orderkey, a.need, list_sort(list(b.need)) AS others FROM p a JOIN p b ON a.o_orderpriority = b.o_orderpriority AND a.o_orderkey <> b.o_orderkey GROUP BY ALL
-)
-SELECT o_orderpriority, round(avg((need <= others[ceil(0.9::DOUBLE * len(others))::INT])::INT::DOUBLE), 6) AS loo_coverage FROM q GROUP BY 1
+WITH p AS ({PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY need) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM p),
+k AS (SELECT *, ceil(0.9::DOUBLE * (n - 1))::BIGINT AS k FROM r),
+q AS (SELECT o_orderpriority, max(need) FILTER (WHERE r = k) AS own, max(need) FILTER (WHERE r = k + 1) AS next FROM k GROUP BY 1)
+SELECT o_orderpriority, round(avg((need <= CASE WHEN r <= k THEN next ELSE own END)::INT::DOUBLE), 6) AS loo_coverage FROM k JOIN q USING (o_orderpriority) GROUP BY 1
 """)
 def loo_coverage(spark, sf_dir):
-    """Calibration is done on few pairs; here orders by a stride, as the reference takes frames."""
-    found = R.conformal_tau(need_pairs(spark, sf_dir).where("o_orderkey % 40 = 0"), "need", 0.9, ("o_orderpriority",))
+    """Without one pair the quantile is a neighbour in the whole order; a test compares it with leaving each out in turn."""
+    found = R.conformal_tau(need_pairs(spark, sf_dir), "need", 0.9, ("o_orderpriority",))
     return found.select("o_orderpriority", F.round("loo_coverage", 6).alias("loo_coverage"))
 
 
@@ -578,19 +578,22 @@ SELECT o_orderstatus, count(*)::BIGINT AS pairs, count(*) FILTER (WHERE abs(d) <
 """)
 def gate_summary(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select("o_orderstatus", ((F.col("o_totalprice") - 150000) / 1000).alias("d"), ((F.col("o_totalprice") - 150000) / 150000).alias("rel"))
-    return d.groupBy("o_orderstatus").agg(F.count("*").alias("pairs"), F.count_if((F.abs("d") <= 10) | (F.abs("rel") <= 0.05)).alias("passed"), R.upper_median(F.abs("d")).alias("median"))
+    median = R.order_statistics(d.select("o_orderstatus", F.abs("d").alias("d")), ["o_orderstatus"], "d", {"median": R.upper_median})
+    return d.groupBy("o_orderstatus").agg(F.count("*").alias("pairs"), F.count_if((F.abs("d") <= 10) | (F.abs("rel") <= 0.05)).alias("passed")).join(median, "o_orderstatus")
 
 
 # -- graphs ------------------------------------------------------------------------------------------------------------
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, (c_custkey * 7 + c_nationkey) % 1500 AS b FROM customer WHERE c_acctbal > 3000),
+WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 1 + c_nationkey % 2 AS b FROM customer WHERE (c_custkey * 7 + c_nationkey) % 13 <> 0),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, m) AS (SELECT a, a FROM both_ways UNION SELECT r.node, w.b FROM r JOIN both_ways w ON r.m = w.a)
 SELECT node, min(m) AS component FROM r GROUP BY node HAVING count(*) > 1
 """)
 def label_components(spark, sf_dir):
-    edges = table(spark, sf_dir, "customer").where("c_acctbal > 3000").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 1500).alias("b"))
+    """Chains of customers, each linked with the next or the one after, cut here and there."""
+    joint = (F.col("c_custkey") * 7 + F.col("c_nationkey")) % 13 != 0
+    edges = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + F.when(joint, 1 + F.col("c_nationkey") % 2).otherwise(0)).alias("b"))
     found = graph.connected_components(edges)
     return found.union(found.select(F.col("component").alias("node"), "component")).distinct()
 
@@ -778,17 +781,20 @@ def metric_ratio(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT a.s_suppkey AS pa, b.s_suppkey AS pb, a.s_nationkey AS ra, b.s_nationkey AS rb, (a.s_suppkey * b.s_suppkey) % 101 AS inliers
-  FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey % 5 = 0 AND b.s_suppkey % 5 = 0 WHERE a.s_nationkey <> b.s_nationkey AND (a.s_suppkey * b.s_suppkey) % 101 >= 40),
-o AS (SELECT least(ra, rb) AS room_a, greatest(ra, rb) AS room_b, CASE WHEN ra < rb THEN pa ELSE pb END AS photo_a, CASE WHEN ra < rb THEN pb ELSE pa END AS photo_b, inliers FROM m)
+WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
+m AS (SELECT a.l_suppkey AS pa, b.l_suppkey AS pb, count(*) AS inliers FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(*) >= 3),
+r AS (SELECT pa, pb, inliers, a.s_nationkey AS ra, b.s_nationkey AS rb FROM m JOIN supplier a ON a.s_suppkey = pa JOIN supplier b ON b.s_suppkey = pb WHERE a.s_nationkey <> b.s_nationkey),
+o AS (SELECT least(ra, rb) AS room_a, greatest(ra, rb) AS room_b, CASE WHEN ra < rb THEN pa ELSE pb END AS photo_a, CASE WHEN ra < rb THEN pb ELSE pa END AS photo_b, inliers FROM r)
 SELECT room_a, room_b, photo_a, photo_b, inliers::BIGINT AS inliers FROM o QUALIFY row_number() OVER (PARTITION BY room_a, room_b ORDER BY inliers DESC, photo_a DESC, photo_b DESC) = 1
 """)
 def photo_room_links(spark, sf_dir):
-    """Photos are every fifth supplier (a capture has some tens), rooms nations; each unordered pair of photos once."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0")
-    a, b = s.select(F.col("s_suppkey").alias("photo_a"), F.col("s_nationkey").alias("room_a")), s.select(F.col("s_suppkey").alias("photo_b"), F.col("s_nationkey").alias("room_b"))
-    pairs = a.join(F.broadcast(b), F.col("photo_a") < F.col("photo_b")).withColumn("inliers", F.col("photo_a") * F.col("photo_b") % 101)
-    return reconstruction.best_links(pairs)
+    """Photos are suppliers, rooms nations, and two photos share an inlier for each order that has both."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("photo_a")).distinct()
+    pairs = l.join(l.withColumnRenamed("photo_a", "photo_b"), "l_orderkey").where("photo_a < photo_b").groupBy("photo_a", "photo_b").agg(F.count("*").alias("inliers"))
+    s = table(spark, sf_dir, "supplier")
+    for side in "ab":
+        pairs = pairs.join(s.select(F.col("s_suppkey").alias(f"photo_{side}"), F.col("s_nationkey").alias(f"room_{side}")), f"photo_{side}")
+    return reconstruction.best_links(pairs, least=3)
 
 
 @query(f"""
@@ -805,15 +811,14 @@ def inside_with_margin(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT o_orderpriority AS room, o_orderkey AS i, (o_totalprice % 1000) / 100000 AS delta, (o_totalprice % 700) / 10000 AS off, o_orderstatus <> 'F' AS measured FROM orders WHERE o_orderkey % 10 = 0),
+WITH w AS (SELECT o_custkey AS room, o_orderkey AS i, (o_totalprice % 1000) / 100000 AS delta, (o_totalprice % 700) / 10000 AS off, o_orderstatus <> 'F' AS measured FROM orders),
 n AS (SELECT *, coalesce(lag(measured) OVER o, last_value(measured) OVER (PARTITION BY room ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b,
   coalesce(lead(measured) OVER o, first_value(measured) OVER o) AS a FROM w WINDOW o AS (PARTITION BY room ORDER BY i))
 SELECT CASE WHEN a AND b THEN 'both ends measured' WHEN a OR b THEN 'one end measured' ELSE 'no end measured' END AS ends, count(*)::BIGINT AS pairs, count(*) FILTER (WHERE abs(delta) <= 0.01::DOUBLE)::BIGINT AS passed,
   list_sort(list(abs(delta)))[1 + (count(*) // 2)::INT] AS median, list_sort(list(abs(off)))[1 + (count(*) // 2)::INT] AS median_offset FROM n GROUP BY 1
 """)
 def repeat_decomposition(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    walls = o.select(F.lit(1).alias("pair"), F.col("o_orderpriority").alias("room"), F.col("o_orderkey").alias("i"), (F.col("o_totalprice") % 1000 / 100000).alias("delta"), (F.col("o_totalprice") % 700 / 10000).alias("offset_mismatch"), (F.col("o_orderstatus") != "F").alias("measured"))
+    walls = table(spark, sf_dir, "orders").select(F.lit(1).alias("pair"), F.col("o_custkey").alias("room"), F.col("o_orderkey").alias("i"), (F.col("o_totalprice") % 1000 / 100000).alias("delta"), (F.col("o_totalprice") % 700 / 10000).alias("offset_mismatch"), (F.col("o_orderstatus") != "F").alias("measured"))
     return reconstruction.decomposition(walls)
 
 

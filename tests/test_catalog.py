@@ -4,8 +4,11 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from scanloom.operators import relational as R
 from scanloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -49,8 +52,44 @@ def test_greedy_match_is_the_plain_loop(spark):
 
 
 def test_spanning_forest_has_the_heaviest_links(spark):
-    found = catalog.mst_links(spark, SF).collect()
-    for region in {r["n_regionkey"] for r in found}:
-        mine = [r for r in found if r["n_regionkey"] == region]
-        nodes = {x for r in mine for x in (r["a"], r["b"])}
-        assert len(mine) == len(nodes) - 1
+    rows = spark.read.parquet(f"{SF}/customer.parquet").groupBy("c_nationkey").count().join(spark.read.parquet(f"{SF}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).collect()
+    size = {r["n_nationkey"]: (r["n_regionkey"], r["count"]) for r in rows}
+    links = sorted((-(size[a][1] * size[b][1] % 97), size[a][0], a, b) for a in size for b in size if a < b and size[a][0] == size[b][0])
+    root, want = {a: a for a in size}, set()
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for weight, region, a, b in sorted(links, key=lambda x: (x[0], x[2], x[3])):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((region, a, b, -weight))
+    assert {(r["n_regionkey"], r["a"], r["b"], r["weight"]) for r in catalog.mst_links(spark, SF).collect()} == want
+
+
+def test_leaving_each_pair_out_in_turn(spark):
+    needs = {}
+    for r in catalog.need_pairs(spark, SF).collect():
+        needs.setdefault(r["o_orderpriority"], []).append(r["need"])
+    want = {}
+    for k, v in needs.items():
+        v = sorted(v)
+        covered = [x <= (v[:i] + v[i + 1 :])[math.ceil(0.9 * (len(v) - 1)) - 1] for i, x in enumerate(v)]
+        want[k] = round(sum(covered) / len(v), 6)
+    assert {r["o_orderpriority"]: r["loo_coverage"] for r in catalog.loo_coverage(spark, SF).collect()} == want
+
+
+def test_asof_and_interpolation_across_ranges_and_without_times(spark, monkeypatch):
+    left = [(i, i % 3, float(t)) for i, t in enumerate((0, 5, 5.5, 99, 50, 12, 71, 3, 100, 64, 64, 20))] + [(90, 1, None), (91, None, 4.0), (92, 7, 4.0)]
+    right = [(k, float(t), 10.0 * t + k) for k in range(3) for t in (1, 5, 40, 64, 90)] + [(1, None, 3.0), (None, 4.0, 1.0)]
+    a = spark.createDataFrame(left, "id int, k int, t double")
+    b = spark.createDataFrame(right, "k int, t double, v double")
+    for parts in (1, 7, 256):
+        monkeypatch.setattr(R.in_ranges, "__defaults__", (parts,))
+        got = {r["id"]: (r["r_t"], r["r_v"]) for r in R.forward_asof(a, b, "t", ["v"], ("k",)).collect()}
+        near = {r["id"]: r["v"] for r in R.interpolated(a, b, "t", "v", ("k",)).collect()}
+        for i, k, t in left:
+            mine = sorted((s, v) for g, s, v in right if g == k and s is not None) if k is not None and t is not None else []
+            assert got[i] == (next((m for m in mine if m[0] >= t), mine[-1]) if mine else (None, None))
+            want = float(np.interp(t, *zip(*mine))) if mine else None
+            assert near[i] == want or abs(near[i] - want) < 1e-9
