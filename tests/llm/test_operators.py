@@ -550,6 +550,31 @@ def test_metric_join_of_scaled_copies(spark, monkeypatch, kind):
     assert got == brute.vector_links(rows)
 
 
+@pytest.mark.parametrize("seeds", [(2, 5, 11, 19, 24, 25), tuple(range(100, 106))])
+def test_metric_join_loses_no_link_among_scaled_and_noisy_copies(spark, monkeypatch, seeds):
+    monkeypatch.setattr(metric_join, "CELL", 25)
+    rows, want = [], {}
+    for k, seed in enumerate(seeds):  # lengths keep the draws apart: only vectors of one length are compared
+        rng = np.random.default_rng(seed)
+        size = 8 + k
+        bases = rng.normal(size=(4, size))
+        bases /= np.linalg.norm(bases, axis=1, keepdims=True)
+        v = [bases[i % 4] * rng.uniform(0.2, 5) + (rng.normal(0, 0.04, size) if i % 3 == 0 else 0) for i in range(480)]
+        rows += [(1000 * k + i, x.tolist()) for i, x in enumerate(v)]
+        u = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+        near = u @ u.T
+        assert not (np.abs(near - 0.9) < 1e-9).any()
+        want |= {1000 * k + i: int(n) - 1 for i, n in enumerate((near >= 0.9).sum(axis=1))}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert {r["vec_id"]: r["n_links"] for r in metric_join.link_vectors(df).collect()} == want
+
+
+def test_metric_join_without_ids(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01]), (None, None)]
+    got = metric_join.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False), (None, 0, None, False)], key=str)
+
+
 def test_metric_join_empty(spark):
     assert metric_join.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert [tuple(r) for r in metric_join.link_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()] == [(1, 0, 1, True)]
@@ -589,6 +614,18 @@ def test_sharding_one_key(spark):
     assert sharding.shard(frame(spark, []), 1000).count() == 0
 
 
+def test_sharding_a_key_of_many_rows_and_columns_of_any_name(spark):
+    rows = [(7, "x" * (1 + i % 3)) for i in range(400)] + [(i, "y" * 10) for i in range(8, 60)] + [(None, None), (None, "z" * 50)]
+    df = frame(spark, rows).withColumns({c: F.lit(1) for c in ("row", "hash", "task", "parent", "_parent", "cell", "depth", "part", "large", "bytes", "shard_part")})
+    got = sharding.shard(df, 60)
+    assert got.columns == [c for c in df.columns if c != "shard_part"] + ["shard", "shard_depth", "shard_part", "n_bytes"]
+    total = defaultdict(int)
+    for r in (found := got.collect()):
+        total[r["shard"], r["shard_part"]] += r["n_bytes"]
+    assert len(found) == len(rows) and all(n <= 60 for n in total.values())
+    assert len({p for (s, p) in total if len(s) == 60}) > 10
+
+
 def test_shards_written(spark, corpus, tmp_path):
     df = sharding.shard(frame(spark, corpus), 3000)
     sharding.write_shards(df, str(tmp_path / "s"))
