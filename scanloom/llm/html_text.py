@@ -3,13 +3,16 @@
 Paragraphs pass points to their ancestors: one for being a paragraph, one for each comma, one for each hundred
 characters up to three; all to the parent, half to the grandparent, a third and less further up. A container's points are
 discounted by the share of its text that lies in links. The best container is the article; siblings that
-score well beside it, or are plain paragraphs with few links, belong to it. Page furniture is cut out before.
+score well beside it, or are plain paragraphs with few links, belong to it. Page furniture is cut out before: what its element,
+role or style says is furniture, what its class calls an advert, a notice or comments, and what its class calls layout, unless it
+holds most of the text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +20,8 @@ from pyspark.sql import DataFrame
 from .arrow import batch_of, row_groups
 from .shared import bounded_batches
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
+#: Quotes count only where a value begins; a quote anywhere else, or one that isn't closed, is a character like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)|[^>])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -29,9 +33,18 @@ DROPPED = frozenset("aside audio button canvas datalist dialog fieldset footer f
 DROPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id that mark furniture, and that take the mark back.
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|modal|promo|promoted|related|replies|respond|share|sharing|shoutbox|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?=$|[\s_-])", re.I)
+#: Words of names in class and id: of layout, which may wrap an article; of adverts, notices and readers' comments, which don't,
+#: though they may be longer than it; and of content.
+LAYOUT = frozenset("banner breadcrumb breadcrumbs footer masthead menu nav navbar navigation pager pagination share sharing sidebar social toolbar widget".split())
+OTHERS = frozenset("ad ads adbox adsense advert adverts advertisement advertising advertisment comment commentlist comments consent cookie cookies disqus modal newsletter notice notification popup promo promoted replies respond shoutbox sponsor sponsored sponsors subscribe".split())
+CONTENT = frozenset("article body content entry main post story text".split())
+#: Names that begin like this say something of an element's state or surroundings.
+STATE = frozenset("has hide hides is no not show shows with without".split())
+#: A header or something related is furniture alone or with these words; a section's or an article's isn't.
+HEADERS = frozenset("app blog fixed global layout main mobile page site sticky top web".split())
+RELATED = frozenset("articles content items links news posts reading stories".split())
+#: What only its name calls layout stays if it holds so much of the page's text.
+MOST = 0.5
 #: Which open elements a start tag ends, up to what.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -48,19 +61,35 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "good", "points", "size", "linked", "commas")
+    __slots__ = ("tag", "parent", "parts", "dropped", "doubtful", "good", "points", "size", "linked", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, good: bool):
-        self.tag, self.parent, self.parts, self.dropped, self.good = tag, parent, [], dropped, good
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubtful: bool, good: bool):
+        self.tag, self.parent, self.parts, self.dropped, self.doubtful, self.good = tag, parent, [], dropped, doubtful, good
         self.points = 0.0
         self.size = self.linked = self.commas = 0
 
 
-def judged(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether its name says that it holds content."""
+@lru_cache(100_000)
+def said_by(names: str) -> tuple[bool, bool, bool]:
+    """What names of class and id say: layout, other furniture, content."""
+    layout = others = content = False
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if not words or len(words) > 1 and words[0] in STATE:
+            continue
+        rest = set(words) - {"header", "related"}
+        layout |= bool(LAYOUT.intersection(words))
+        layout |= "header" in words and (not rest or rest <= HEADERS) or words[0] == "related" and (not rest or bool(rest & RELATED))
+        others |= bool(OTHERS.intersection(words))
+        content |= bool(CONTENT.intersection(words))
+    return layout, others, content
+
+
+def judged(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture for sure, whether only its name says so, and whether the name says that it holds content."""
     if tag in DROPPED:
-        return True, False
-    bad = good = False
+        return True, False, False
+    sure = doubtful = good = False
     if attributes and "=" in attributes or "hidden" in attributes:
         names = []
         for name, value in ATTRIBUTE.findall(attributes):
@@ -68,18 +97,19 @@ def judged(tag: str, attributes: str) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 names.append(value)
             elif name == "role":
-                bad |= value.strip().lower() in DROPPED_ROLES
+                sure |= value.strip().lower() in DROPPED_ROLES
             elif name == "style":
-                bad |= "display:none" in value.replace(" ", "").lower()
+                sure |= "display:none" in value.replace(" ", "").lower()
             elif name == "hidden":
-                bad = True
+                sure = True
             else:
-                bad |= value.lower() == "true"
-        if names and tag not in ("html", "body"):
-            said = " ".join(names)
-            good = bool(CONTENT.search(said))
-            bad |= bool(FURNITURE.search(said)) and not (good and tag in ("article", "main"))
-    return bad, good
+                sure |= value.lower() == "true"
+        if names and tag not in ("html", "body", *HEADING):
+            layout, others, good = said_by(" ".join(names))
+            kept = good and tag in ("article", "main")
+            sure |= others and not kept
+            doubtful = layout and not kept
+    return sure, doubtful, good
 
 
 class Path:
@@ -111,7 +141,7 @@ class Path:
 
 def parse(page: str) -> Node:
     """The tree of a page, however broken and deep: ends without a start are passed over, missing ends are made up."""
-    root = Node("html", None, False, False)
+    root = Node("html", None, False, False, False)
     now, path, at, size = root, Path(root), 0, len(page)
     while at < size:
         found = TAG.search(page, at)
@@ -133,7 +163,7 @@ def parse(page: str) -> Node:
             if place > 0:
                 now = path.leave(place)
             elif tag == "p":
-                now.parts.append(Node("p", now, False, False))
+                now.parts.append(Node("p", now, False, False, False))
             continue
         if tag in ("html", "body"):
             continue
@@ -147,14 +177,14 @@ def parse(page: str) -> Node:
             place = max(map(path.last, ended))
             if place > 0 and place > max(map(path.last, limit)):
                 now = path.leave(place)
-        bad, good = judged(tag, found[4] or "")
-        node = Node(tag, now, bad, good)
+        node = Node(tag, now, *judged(tag, found[4] or ""))
         now.parts.append(node)
         if tag in VOID or (found[4] or "").endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(page, at)
-            node.parts.append(page[at : end.start() if end else size])
+            held = page[at : end.start() if end else size]
+            node.parts.append(held if tag in ("textarea", "title") else held.replace("&", "&amp;"))
             at = end.start() if end else size
             if end:
                 close = page.find(">", at)
@@ -174,9 +204,20 @@ def in_order(root: Node):
         waiting += [p for p in reversed(node.parts) if type(p) is Node and not p.dropped]
 
 
+def without_doubt(root: Node) -> None:
+    """Of what only names call layout, all goes that doesn't hold most of the page's text; inside what stays, the same is asked."""
+    nodes = list(in_order(root))
+    if any(n.doubtful for n in nodes):
+        whole = measure(root)[0].size
+        for node in nodes:  # parents first; what lies in a dropped one goes with it
+            if node.doubtful and node.size < MOST * whole:
+                node.dropped = True
+
+
 def measure(root: Node) -> list[Node]:
     nodes = list(in_order(root))
     for node in reversed(nodes):
+        node.size = node.linked = node.commas = 0
         for p in node.parts:
             if type(p) is Node:
                 if not p.dropped:
@@ -195,6 +236,7 @@ def link_share(node: Node) -> float:
 
 def article_of(root: Node) -> list[Node]:
     """The best container and the siblings that belong to it, in page order."""
+    without_doubt(root)
     nodes = measure(root)
     candidates = []
     for node in nodes:
@@ -244,7 +286,7 @@ def blocks(roots: list[Node]) -> list[str]:
 
     def end():
         if line:
-            text = SPACE.sub(" ", html.unescape("".join(line))).strip()
+            text = SPACE.sub(" ", "".join(line)).strip()
             if text:
                 out.append(text)
             line.clear()
@@ -256,7 +298,7 @@ def blocks(roots: list[Node]) -> list[str]:
             if p is None:
                 end()
             elif type(p) is str:
-                line.append(p)
+                line.append(html.unescape(p))  # each by itself: a reference doesn't go on behind a tag
             elif p.tag == "br":
                 line.append(" ")
             elif not p.dropped:

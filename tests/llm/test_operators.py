@@ -1,7 +1,9 @@
 """Each operator against a plain version, on ordinary rows and on nulls, empty and long texts, ties, repeats and empty tables."""
 
+import os
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import brute
 import numpy as np
@@ -659,6 +661,63 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div class="content has-sidebar"><article><p>Text</article></div>', "Text"), ('<body><div class="site no-sidebar"><p>One, two.</p></div>', "One, two."),
+        ('<article><p>Some text, long enough.</p><div class="related-work"><p>Earlier work</p></div></article>', "Some text, long enough.\nEarlier work"),
+        ('<article><h2 class="section-header">Head</h2><p>Text, text.</p></article>', "Head\nText, text."), ('<article><div class="section-header"><p>Head</p></div><p>Text, text.</p></article>', "Head\nText, text."),
+        ('<div class="sidebar wrapper"><article><p>All, of, the text.</p></article></div>', "All, of, the text."),
+        ('<article><p>Short, text.</p></article><div class="comment-list"><article><p>' + "I think, therefore. " * 40 + "</p></article></div>", "Short, text."),
+        ('<div class="page-header"><p>Top</p></div><article><p>Text, text.</p></article><div class="related-posts"><p>More</p></div><div id=left_sidebar>Side</div>', "Text, text."),
+        ("<article><p title=it's>hello</p></article>", "hello"), ('<article><p title="a>b" class=x"y>hello <a href=/q?x="1>there</a></p></article>', "hello there"), ("<article><p title='never closed>hello</p></article>", "hello"),
+        ("<article><p>&<b>amp;</b> &am<!-- -->p; &amp;lt;</p></article>", "&amp; &amp; &lt;"), ("<article><p><![CDATA[a &amp; b]]></p></article>", "a &amp; b"),
+    ],
+)
+def test_names_quotes_and_references(page, want):
+    assert html_text.main_text(page) == want
+
+
+class Plain(HTMLParser):
+    """The text of the article element, block by block, of pages that close what they open or leave out the end of p."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in html_text.BLOCK:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in html_text.BLOCK:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(t for b in self.blocks if (t := " ".join(b.split())))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_pages_equal_a_plain_extractor(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in html_text.query(spark, "/root/testdata/sf0.01").collect()}
+    with_article = [r for r in rows if "<article" in (r["html"] or "")]
+    assert len(got) == len(rows) and len(with_article) > 0.9 * len(rows)
+    for r in with_article:
+        plain = Plain()
+        plain.feed(r["html"])
+        plain.close()
+        assert got[r["page_id"]] == plain.text()
+
+
 @pytest.mark.parametrize("depth", [10, 399, 400, 500, 30_000])
 def test_deep_pages(depth):
     down, up = "<div>" * depth, "</div>" * depth
