@@ -2,15 +2,21 @@
 
 A word that training saw scores by its logarithmic frequency in each language. A word it did not see is looked at
 through its character 5-grams (with marks for both ends); if none of them is known, through its 4-grams, and
-so on down to single characters. The language of the largest sum wins.
+so on down to single characters. The language of the largest sum wins. Words and n-grams go by 64-bit hashes, so that the
+tables are sorted arrays, and hold all that the sample has.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
+import uuid
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +25,40 @@ from pyspark.sql import functions as F
 
 from .arrow import batch_of, row_groups
 from .shared import bounded_batches
+from .textcore import word_hashes
 
-#: Bounds of the classifier: labelled rows that it is fitted on (expected number of a sample by hash), and for each
-#: language the words and the n-grams of each length that it keeps, the most frequent first.
-TRAIN_ROWS, WORDS_KEPT, GRAMS_KEPT = 20_000, 20_000, 10_000
+#: The bound of the classifier: labelled rows that it is fitted on, the expected number of a sample by hash. All their words and n-grams count.
+TRAIN_ROWS = 20_000
 LONGEST = 5
-WORD = re.compile(r"[^\W\d_]+")
 NONE = "und"
-CACHED = 150_000
+#: Words whose scores a Python worker remembers.
+CACHED = 300_000
+
+
+#: Characters beyond the first plane, which a pattern knows by a long list.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+@cache
+def word_pattern(last: int) -> re.Pattern:
+    """Letters (Unicode L) with the marks (M) that follow letters, of characters up to ``last``."""
+    ranges = {"L": [], "M": []}
+    begin = was = None
+    for c in range(last + 2):
+        kind = unicodedata.category(chr(c))[0] if c <= last else None
+        if kind != was:
+            if was in ranges:
+                ranges[was].append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin, was = c, kind
+    letters, marks = "".join(ranges["L"]), "".join(ranges["M"])
+    return re.compile(f"[{letters}][{letters}{marks}]*")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return word_pattern(sys.maxunicode if not low.isascii() and ASTRAL.search(low) else 0xFFFF).findall(low)
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -38,92 +66,132 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def hashed(strings: list[str]) -> np.ndarray:
+    raw = [x.encode("utf-8", "surrogatepass") for x in strings]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], ends[:-1])) if len(raw) else ends, ends)
+
+
 @dataclass
 class Model:
-    """Languages in order; for words and for each length of n-grams a table of rows of log frequencies by language."""
+    """Languages in order; for words (at 0) and each length of n-grams sorted hashes and a row of log frequencies by language for each."""
 
     languages: list[str]
-    tables: list[dict[str, int]]  # by length; at 0 the words
+    keys: list[np.ndarray]
     rows: list[np.ndarray]
-
-    def backed_off(self, words: list[str]) -> np.ndarray:
-        """Scores of words that aren't in the table of words; zeros if not even a character is known."""
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def find(self, n: int, strings: list[str]) -> np.ndarray:
+        """Each string's row in a table, -1 for none."""
+        keys, wanted = self.keys[n], hashed(strings)
+        if not len(keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, at, -1)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: of the word itself, or of the longest n-grams that are known; zeros if not even a character is."""
         out = np.zeros((len(words), len(self.languages)))
-        open_ = list(range(len(words)))
+        at = self.find(0, words)
+        seen = at >= 0
+        out[seen] = self.rows[0][at[seen]]
+        open_ = np.flatnonzero(~seen)
         for n in range(LONGEST, 0, -1):
-            get, places, found, left = self.tables[n].get, [], [], []
-            for i in open_:
-                hits = [p for g in grams_of(words[i], n) if (p := get(g)) is not None]
-                if hits:
-                    found.append((i, len(places), len(hits)))
-                    places += hits
-                else:
-                    left.append(i)
-            if found:
-                sums = np.add.reduceat(self.rows[n][places], [b for _, b, _ in found], axis=0)
+            if not len(open_):
+                break
+            grams = [grams_of(words[i], n) for i in open_.tolist()]
+            owner = np.repeat(np.arange(len(open_)), [len(g) for g in grams])
+            at = self.find(n, list(chain.from_iterable(grams)))
+            owner, at = owner[at >= 0], at[at >= 0]
+            known, first, count = np.unique(owner, return_index=True, return_counts=True)
+            if len(known):
                 # the mean of the n-grams, so that a word counts as one piece of evidence however long it is
-                out[[i for i, _, _ in found]] = sums / np.array([k for _, _, k in found])[:, None]
-            open_ = left
+                out[open_[known]] = np.add.reduceat(self.rows[n][at], first, axis=0) / count[:, None]
+            open_ = np.delete(open_, known)
         return out
 
 
-def learn(counts: list[tuple[str, int, str, int]]) -> Model:
-    """From ``(language, length, gram, count)``; length 0 stands for words."""
-    languages = sorted({c[0] for c in counts})
-    place = {x: i for i, x in enumerate(languages)}
+def learn(names: list[str], lang: np.ndarray, size: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Model:
+    """From counts by language (its place in ``names``), length (0 for words) and hash."""
+    languages = sorted(names)
+    place = np.array([languages.index(x) for x in names], np.int64)[lang] if names else np.zeros(0, np.int64)
     tables, rows = [], []
     for n in range(LONGEST + 1):
-        mine = [c for c in counts if c[1] == n]
-        table: dict[str, int] = {}
-        for _, _, g, _ in sorted(mine, key=lambda c: c[2]):
-            table.setdefault(g, len(table))
-        matrix = np.zeros((len(table), len(languages)))
-        for lang, _, g, k in mine:
-            matrix[table[g], place[lang]] += k
-        total = matrix.sum(axis=0)
-        tables.append(table)
-        rows.append(np.log((matrix + 0.5) / (total + 0.5 * (len(table) + 1))))
+        mine = np.flatnonzero(size == n)
+        keys, at = np.unique(gram[mine], return_inverse=True)
+        matrix = np.zeros((len(keys), len(languages)))
+        np.add.at(matrix, (at, place[mine]), count[mine])
+        tables.append(keys)
+        rows.append(np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * (len(keys) + 1))))
     return Model(languages, tables, rows)
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """``(lang, size, gram, count)`` over all texts of ``labelled(lang, text)``."""
+    """``(lang, size, gram, count)`` over all texts of ``labelled(lang, text)``, grams by hash."""
 
     def run(batches):
-        for batch in row_groups(batches, "text", 1 << 20):
+        for batch in row_groups(batches, "text", 4 << 20):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
-            out = Counter()
             for lang, found in words.items():
-                for w, k in found.items():
-                    out[lang, 0, w] += k
-                    for n in range(1, LONGEST + 1):
-                        for g in grams_of(w, n):
-                            out[lang, n, g] += k
-            if out:
-                lang, size, gram = zip(*out, strict=True)
-                yield batch_of(lang=pa.array(lang, pa.string()), size=pa.array(size, pa.int32()), gram=pa.array(gram, pa.string()), count=pa.array(list(out.values()), pa.int64()))
+                own, times = list(found), np.fromiter(found.values(), np.int64, len(found))
+                for n in range(LONGEST + 1):
+                    grams = [grams_of(w, n) for w in own] if n else [[w] for w in own]
+                    keys, at = np.unique(hashed(list(chain.from_iterable(grams))), return_inverse=True)
+                    count = np.bincount(at, np.repeat(times, [len(g) for g in grams]), len(keys)).astype(np.int64)
+                    if len(keys):
+                        yield batch_of(lang=pa.array([lang] * len(keys), pa.string()), size=np.full(len(keys), n, np.int32), gram=keys.view(np.int64), count=count)
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, size int, gram string, count long").groupBy("lang", "size", "gram").agg(F.sum("count").alias("count"))
+    return labelled.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, count long").groupBy("lang", "size", "gram").agg(F.sum("count").alias("count"))
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits on a sample by the hash of the text, of about ``rows`` rows that have a text and a language.
 
-    The tables on the driver hold at most ``WORDS_KEPT + 5 * GRAMS_KEPT`` entries a language. Without any row
-    the model knows no language.
+    Without any row the model knows no language.
     """
     bounded_batches(labelled.sparkSession)
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     total = usable.count()
     share = min(1.0, rows / total) if total else 1.0
     sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    counts = gram_counts(sample)
-    kept = F.when(F.col("size") == 0, WORDS_KEPT).otherwise(GRAMS_KEPT)
-    ranked = counts.withColumn("place", F.expr("row_number() OVER (PARTITION BY lang, size ORDER BY count DESC, gram)"))
-    found = ranked.where(F.col("place") <= kept).select("lang", "size", "gram", "count")
-    return learn(list(zip(*(c.to_pylist() for c in found.toArrow().columns), strict=True)))
+    # bounded by the sample: numbers of some bytes, no strings but the languages' names
+    found = gram_counts(sample).toArrow()
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    size, gram, count = (found.column(c).to_numpy() for c in ("size", "gram", "count"))
+    return learn(lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False), size, gram.view(np.uint64), count)
+
+
+class Known:
+    """The scores of words that this Python worker has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.places, self.used = model, {}, 0
+        self.scores = np.zeros((CACHED, max(1, len(model.languages))))
+
+    def learn(self, words: set[str]) -> None:
+        new = list(words.difference(self.places))
+        if self.used + len(new) > len(self.scores):  # full: begun anew, with room for these at least
+            self.places, self.used, new = {}, 0, list(words)
+            if len(new) > len(self.scores):
+                self.scores = np.zeros((len(new), self.scores.shape[1]))
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            self.scores[self.used : self.used + len(some)] = self.model.scores(some)
+            self.places.update(zip(some, range(self.used, self.used + len(some)), strict=True))
+            self.used += len(some)
+
+
+_known: dict[str, Known] = {}
+
+
+def known_to(model: Model) -> Known:
+    """What is known of the model that is at work; kept from task to task, for one model at a time."""
+    if model.name not in _known:
+        _known.clear()
+        _known[model.name] = Known(model)
+    return _known[model.name]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -137,35 +205,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model: Model = shared.value
-        known = len(model.tables[0])
-        table = dict(model.tables[0])
-        scores = np.zeros((known + CACHED, max(1, len(model.languages))))
-        scores[:known] = model.rows[0] if known else 0
-        used = known
+        known = known_to(shared.value)
+        languages = known.model.languages
         for batch in row_groups(batches, text, 2 << 20):
-            words = [words_of(t) for t in batch.column(text).to_pylist()] if model.languages else [[]] * batch.num_rows
-            new = list(set().union(*words).difference(table))
-            if used + len(new) > len(scores):
-                table, used = dict(model.tables[0]), known
-                new = list(set().union(*words).difference(table))
-                if used + len(new) > len(scores):
-                    scores = np.concatenate((scores, np.zeros((len(new), scores.shape[1]))))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                scores[used : used + len(some)] = model.backed_off(some)
-                table.update(zip(some, range(used, used + len(some)), strict=True))
-                used += len(some)
+            words = [words_of(t) for t in batch.column(text).to_pylist()] if languages else [[]] * batch.num_rows
+            known.learn(set().union(*words))
             lang, score = [], []
-            get = table.__getitem__
+            get = known.places.__getitem__
             for found in words:
                 if not found:
                     lang.append(NONE)
                     score.append(0.0)
                     continue
-                total = scores[np.fromiter(map(get, found), np.int64, len(found))].sum(axis=0)
+                total = known.scores[np.fromiter(map(get, found), np.int64, len(found))].sum(axis=0)
                 best = int(total.argmax())
-                lang.append(model.languages[best])
+                lang.append(languages[best])
                 score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
             yield batch_of(**{c: batch.column(c) for c in own}, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()))
 

@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import unicodedata
 
 import numpy as np
 
@@ -90,3 +92,47 @@ def vector_links(rows, least=0.9):
     links = [(a, b) for a in fine for b in fine if a < b and len(fine[a]) == len(fine[b]) and fine[a] @ fine[b] >= least]
     group = components(ids, links)
     return {i: (sum(i in x for x in links), group[i]) for i in ids}
+
+
+def language_scores(labelled, texts, longest=5):
+    """Words by Unicode category; the known word's log frequency, or the mean of the longest known n-grams'."""
+
+    def words(text):
+        out, now = [], ""
+        for c in (text or "").lower() + " ":
+            kind = unicodedata.category(c)[0]
+            if kind == "L" or now and kind == "M":
+                now += c
+            elif now:
+                out.append(now)
+                now = ""
+        return out
+
+    def grams(word, n):
+        marked = f"<{word}>" if n > 1 else word
+        return [word] if n == 0 else [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+    counts = {}
+    for text, lang in labelled:
+        for w in words(text):
+            for n in range(longest + 1):
+                for g in grams(w, n):
+                    counts.setdefault(n, {}).setdefault(g, {}).setdefault(lang, 0)
+                    counts[n][g][lang] += 1
+    langs = sorted({lang for _, lang in labelled})
+    total = {n: {x: sum(c.get(x, 0) for c in counts[n].values()) for x in langs} for n in counts}
+
+    def row(n, g):
+        return [math.log((counts[n][g].get(x, 0) + 0.5) / (total[n][x] + 0.5 * (len(counts[n]) + 1))) for x in langs]
+
+    out = {}
+    for doc_id, text in texts:
+        sums = [0.0] * len(langs)
+        for w in words(text):
+            for n in (0, *range(longest, 0, -1)):
+                if rows := [row(n, g) for g in grams(w, n) if g in counts[n]]:
+                    sums = [s + sum(r[i] for r in rows) / len(rows) for i, s in enumerate(sums)]
+                    break
+        best = max(sums)
+        out[doc_id] = (langs[sums.index(best)], 1 / sum(math.exp(s - best) for s in sums))
+    return out

@@ -194,7 +194,7 @@ def test_language_id(spark, languages):
 
 def test_language_id_odd_texts(spark, languages):
     model = language_id.fit(spark.createDataFrame(languages, "doc_id long, text string, lang string"))
-    odd = frame(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "schungver " * 20_000), (5, "日本語"), (5, "日本語")])
+    odd = frame(spark, [(1, None), (2, ""), (3, "123 !? ½ ² ①"), (4, "schungver " * 20_000), (5, "日本語"), (5, "日本語")])
     got = sorted((r["doc_id"], r["lang_pred"]) for r in language_id.predict(odd, model).collect())
     assert got[:4] == [(1, "und"), (2, "und"), (3, "und"), (4, "bb")] and got[4] == got[5] and got[4][1] in model.languages
     kept = language_id.keep_identified(with_clashes(odd), model)
@@ -210,9 +210,30 @@ def test_language_id_without_anything_learned(spark):
 
 def test_backoff_goes_to_shorter_grams():
     counts = [("x", 0, "abc", 5), ("y", 0, "def", 5), ("x", 3, "abc", 5), ("y", 1, "z", 2), ("x", 1, "q", 2)]
-    model = language_id.learn(counts)
-    scores = model.backed_off(["zabcz", "zzz", "???"])
-    assert scores[0, 0] > scores[0, 1] and scores[1, 1] > scores[1, 0] and not scores[2].any()
+    lang, size, gram, count = zip(*counts)
+    model = language_id.learn(["y", "x"], np.array(["yx".index(x) for x in lang]), np.array(size), language_id.hashed(gram), np.array(count))
+    scores = model.scores(["abc", "zabcz", "zzz", "???"])
+    assert model.languages == ["x", "y"] and scores[0, 0] > scores[0, 1] and scores[1, 0] > scores[1, 1] and scores[2, 1] > scores[2, 0] and not scores[3].any()
+
+
+def test_language_scores_equal_plain_ones(spark, languages, monkeypatch):
+    texts = [(i, t) for i, t, _ in languages[:40]] + [(900, "kalo schxx zzeau éé q"), (901, "kaxlo tremendous"), (902, "ß")]
+    want = brute.language_scores([(t, lang) for _, t, lang in languages if lang], texts)
+    model = language_id.fit(spark.createDataFrame(languages, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(frame(spark, texts), model).collect()}
+    for i, _ in texts:
+        assert got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], abs=1e-9)
+
+
+def test_language_words_are_letters_with_their_marks(monkeypatch):
+    assert language_id.words_of("½ ² ① Ⅳ 12 _ \u0301") == [] and language_id.words_of("हिन्दी, e\u0301te a1b 日本語x2") == ["हिन्दी", "e\u0301te", "a", "b", "日本語x"]
+    monkeypatch.setattr(language_id, "CACHED", 3)
+    model = language_id.learn(["x"], np.zeros(2, int), np.array([0, 1]), language_id.hashed(["ab", "c"]), np.array([3, 2]))
+    known = language_id.Known(model)
+    for words in ({"ab", "c"}, {"ab", "d", "e"}, {"ab", "c", "d", "e", "f"}, {"ab"}):
+        known.learn(words)
+        for w in words:
+            assert (known.scores[known.places[w]] == model.scores([w])[0]).all()
 
 
 # -- 3 ---------------------------------------------------------------------------------------------------------------
