@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """As the session names it in ``spark.checkpoint.dir``; one is chosen here only where that is unset (tests)."""
+    """As the session names it in ``spark.checkpoint.dir``; one is chosen here only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = set_dir.get() if set_dir.isDefined() else "file:///tmp/scanloom-shared"
+        if set_dir.isDefined():
+            named = set_dir.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            named = "file:///tmp/scanloom-shared"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
