@@ -32,7 +32,7 @@ TRAIN_ROWS = 20_000
 LONGEST = 5
 NONE = "und"
 #: Words whose scores a Python worker remembers.
-CACHED = 300_000
+CACHED = 150_000
 
 
 #: Characters beyond the first plane, which a pattern knows by a long list.
@@ -130,7 +130,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """``(lang, size, gram, count)`` over all texts of ``labelled(lang, text)``, grams by hash."""
 
     def run(batches):
-        for batch in row_groups(batches, "text", 4 << 20):
+        for batch in row_groups(batches, "text", 1 << 20):
             words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(words_of(text))
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         known = known_to(shared.value)
         languages = known.model.languages
-        for batch in row_groups(batches, text, 2 << 20):
+        for batch in row_groups(batches, text, 1 << 20):
             words = [words_of(t) for t in batch.column(text).to_pylist()] if languages else [[]] * batch.num_rows
             known.learn(set().union(*words))
             lang, score = [], []
