@@ -111,7 +111,7 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 #: The byte limit of the query op9_sharding.
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 160 << 10
 
 
 def query(spark, sf_dir: str) -> DataFrame:
