@@ -39,11 +39,11 @@ def voxel_rows(points: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray,
     """Packed keys in order, numbers of points, sums in micrometres."""
     index = np.floor(points / size).astype(np.int64) + R.KEY_OFFSET
     key = index[:, 0] << 42 | index[:, 1] << 21 | index[:, 2]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # sums are of whole numbers, so equal keys may come in any order
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    scaled = points[order] * 1e6
-    um = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64)
+    scaled = points * 1e6
+    um = np.copysign(np.floor(np.abs(scaled) + 0.5), scaled).astype(np.int64)[order]
     sums = np.add.reduceat(um, first, axis=0) if len(key) else um
     return key[first], np.diff(np.concatenate((first, [len(key)]))), sums
 
