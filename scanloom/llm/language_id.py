@@ -12,9 +12,8 @@ import math
 import re
 import sys
 import unicodedata
-import uuid
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 from itertools import chain
 
@@ -31,7 +30,7 @@ from .textcore import word_hashes
 TRAIN_ROWS = 20_000
 LONGEST = 5
 NONE = "und"
-#: Words whose scores a Python worker remembers.
+#: Words whose scores a task remembers.
 CACHED = 150_000
 
 
@@ -79,7 +78,6 @@ class Model:
     languages: list[str]
     keys: list[np.ndarray]
     rows: list[np.ndarray]
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def find(self, n: int, strings: list[str]) -> np.ndarray:
         """Each string's row in a table, -1 for none."""
@@ -164,7 +162,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 class Known:
-    """The scores of words that this Python worker has met."""
+    """The scores of words that a task has met."""
 
     def __init__(self, model: Model):
         self.model, self.places, self.used = model, {}, 0
@@ -183,17 +181,6 @@ class Known:
             self.used += len(some)
 
 
-_known: dict[str, Known] = {}
-
-
-def known_to(model: Model) -> Known:
-    """What is known of the model that is at work; kept from task to task, for one model at a time."""
-    if model.name not in _known:
-        _known.clear()
-        _known[model.name] = Known(model)
-    return _known[model.name]
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the winner's share among the languages; columns of these names are replaced.
 
@@ -205,7 +192,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        known = known_to(shared.value)
+        known = Known(shared.value)
         languages = known.model.languages
         for batch in row_groups(batches, text, 1 << 20):
             words = [words_of(t) for t in batch.column(text).to_pylist()] if languages else [[]] * batch.num_rows
