@@ -31,6 +31,11 @@ def upright_turns(frames: DataFrame, by: list[str]) -> DataFrame:
     return m.select(*by, turns.alias("turns"))
 
 
+def image_rotate(image: np.ndarray, turns: int) -> np.ndarray:
+    """An image (rows, columns, maybe channels) after ``turns`` quarter turns clockwise, as ``upright_turns`` counts them."""
+    return np.ascontiguousarray(np.rot90(image, -turns))
+
+
 def model_size(width: Column, height: Column) -> tuple[Column, Column]:
     """The size a model sees: the long side fixed, both multiples of the patch."""
     scale = F.lit(float(LONG_SIDE)) / F.greatest(width, height)

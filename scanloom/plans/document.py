@@ -263,7 +263,8 @@ def extract_plans(points: DataFrame, poses: DataFrame, res: float = 0.02, tier:
 
 # -- drawings --------------------------------------------------------------------------------------------------------------
 
-SCALE, MARGIN = 100.0, 60.0
+#: Pixels a metre, the margin, the shortest wall with a size, the smallest ring.
+SCALE, MARGIN, LABELLED, RING = 100.0, 60.0, 0.4, 6.0
 
 
 def escaped(text: str) -> str:
@@ -283,7 +284,7 @@ def pieces(length: float, cuts: list[tuple[float, float]]) -> list[tuple[float,
 
 
 def draw_svg(plan: dict) -> str:
-    """Walls without their openings, door arcs, windows, sizes, rooms, damage, and a scale bar."""
+    """Title, walls without their openings, door arcs, windows, sizes with intervals, rooms with ceilings, damage by width, and a scale bar."""
     corners = np.array([p for r in plan["rooms"] for p in r["polygon"]] or [[0.0, 0.0]])
     low, high = corners.min(axis=0), corners.max(axis=0)
     place = lambda p: ((p[0] - low[0]) * SCALE + MARGIN, (high[1] - p[1]) * SCALE + MARGIN)
@@ -298,7 +299,12 @@ def draw_svg(plan: dict) -> str:
         x, y = place(p)
         out.append(f'<text x="{x:.1f}" y="{y:.1f}" text-anchor="middle" {more}>{escaped(said)}</text>')
 
+    def between(m: dict) -> str:
+        return f"{m['value']:.1f} m² [{m['ci90'][0]:.1f}, {m['ci90'][1]:.1f}]"
+
     surfaces = {}
+    title = f"{plan['capture_id']}, {plan['tier']}, footprint {between(plan['footprint_area_m2'])}"
+    out.append(f'<text x="{MARGIN:.0f}" y="24" font-size="16">{escaped(title)}</text>')
     for r in plan["rooms"]:
         out.append('<polygon points="' + " ".join("{:.1f},{:.1f}".format(*place(p)) for p in r["polygon"]) + '" fill="#f4f4f4"/>')
         middle = np.mean(r["polygon"], axis=0)
@@ -320,16 +326,27 @@ def draw_svg(plan: dict) -> str:
                     radius = (e - s) * SCALE
                     leaf = place(p + (e - s) * np.array((-along[1], along[0])))
                     out.append(f'<path d="M {x1:.1f} {y1:.1f} A {radius:.1f} {radius:.1f} 0 0 0 {leaf[0]:.1f} {leaf[1]:.1f} L {x0:.1f} {y0:.1f}" fill="none" stroke="#a62"/>')
-            text((a + b) / 2, f"{w['length_m']['value']:.2f} m", 'fill="#555"')
-        text(middle, f"{r['id']} {r['floor_area_m2']['value']:.1f} m²", 'font-weight="bold"')
-    rules = {i: f["rule_id"] for f in plan["concealed_flags"] for i in f["damage_ids"]}
+                text((p + q) / 2, f"{o['type']} {o['width_m']['value']:.2f}", 'fill="#a62" font-size="10" dy="-8"')
+            if length >= LABELLED:
+                near, far = w["length_m"]["ci90"]
+                text((a + b) / 2, f"{w['length_m']['value']:.2f} m ±{(far - near) * 50:.0f} cm", 'fill="#555"')
+        ceiling = r["ceiling_height_m"]
+        text(middle, r["id"], 'font-weight="bold" dy="-14"')
+        text(middle, between(r["floor_area_m2"]))
+        text(middle, f"ceiling {ceiling['value']:.2f} m" if ceiling["observed"] and ceiling["value"] is not None else "ceiling not observed", 'dy="14"')
+    rules: dict[str, list[str]] = {}
+    for f in plan["concealed_flags"]:
+        for i in f["damage_ids"]:
+            rules.setdefault(i, []).append(f["rule_id"])
     for d in plan["damage"]:
         at, along = surfaces.get((d["location"]["room"], d["location"]["surface"]), (low, np.zeros(2)))
         centre = d.get("centre_m") or [0.0, 0.0]
         p = at + centre[0] * along if along.any() else np.array(centre)
         x, y = place(p)
-        out.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="8" fill="none" stroke="#c22" stroke-width="2"/>')
-        text(p, " ".join(x for x in (d["id"], d["class"], rules.get(d["id"])) if x), 'fill="#c22" dy="-10"')
+        radius, on = max(RING, d["width_m"]["value"] * SCALE / 2), d["location"]["surface"]
+        out.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="{radius:.1f}" fill="none" stroke="#c22" stroke-width="2"/>')
+        said = [d["id"], d["class"].replace("_", " "), f"{d['area_m2']['value']:.2f} m²", f"({on})" if on in ("floor", "ceiling") else "", ", ".join(rules.get(d["id"], []))]
+        text(p, " ".join(x for x in said if x), f'fill="#c22" dy="{-radius - 2:.0f}"')
     x, y = MARGIN, height + 10
     out.append(f'<line x1="{x}" y1="{y:.0f}" x2="{x + SCALE}" y2="{y:.0f}" stroke="#000" stroke-width="2"/><text x="{x + SCALE / 2}" y="{y + 16:.0f}" text-anchor="middle">1 m</text>')
     return "\n".join([*out, "</svg>"])

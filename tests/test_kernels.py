@@ -224,6 +224,32 @@ def test_damage_output_validates():
     assert crack["unit"] == "m" and crack["quantity"]["value"] >= 0.6
     svg = document.draw_svg(plan)
     assert all(x in svg for x in ("D1", "mould", "crack", "hole", "R-WALL-BASE-01"))
+    low, high = plan["footprint_area_m2"]["ci90"]
+    assert f"{plan['footprint_area_m2']['value']:.1f} m² [{low:.1f}, {high:.1f}]" in svg and "ceiling not observed" in svg
+    near, far = plan["rooms"][0]["walls"][0]["length_m"]["ci90"]
+    assert f"±{(far - near) * 50:.0f} cm" in svg and "(ceiling)" in svg
+    assert f"door {plan['rooms'][0]['openings'][0]['width_m']['value']:.2f}" in svg
+    assert 'r="6.0"' in svg and f'r="{plan["damage"][0]["width_m"]["value"] * 50:.1f}"' in svg
+    plan["rooms"][0]["ceiling_height_m"] = {"observed": True, "value": 2.5, "ci90": [2.4, 2.6], "source": "measured"}
+    plan["capture_id"] = "a<b"
+    svg = document.draw_svg(plan)
+    assert "ceiling 2.50 m" in svg and "a&lt;b, lidar" in svg
+
+
+def test_simplified_outline():
+    square = np.array([(0, 0), (1, 0.01), (2, 0), (2, 2), (1, 1.98), (0, 2)], float)
+    assert K.simplified(square, 0.05).tolist() == [[0, 0], [2, 0], [2, 2], [0, 2]]
+    assert K.simplified(square, 0.0).tolist() == square.tolist()
+    assert K.simplified(square[:3], 9.0).tolist() == square[:3].tolist()
+    assert K.simplified(np.zeros((0, 2)), 1.0).shape == (0, 2)
+    same = np.zeros((5, 2))
+    assert K.simplified(same, 0.1).tolist() == [[0, 0]]
+    around = np.linspace(0, 2 * np.pi, 200, endpoint=False)
+    circle = np.stack([np.cos(around), np.sin(around)], axis=1)
+    rest = K.simplified(circle, 0.01)
+    ends = np.roll(rest, -1, axis=0) - rest
+    gap = [min(np.hypot(*(p - a - np.clip((p - a) @ d / (d @ d), 0, 1) * d)) for a, d in zip(rest, ends, strict=True)) for p in circle]
+    assert 4 < len(rest) < 60 and max(gap) <= 0.01 + 1e-12
 
 
 @pytest.mark.parametrize("change", mutations(), ids=lambda f: f.__name__)

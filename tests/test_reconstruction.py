@@ -122,3 +122,12 @@ def test_streams_equal_tables(spark):
     q = stream.writeStream.format("memory").queryName("late_chunks").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.sql("SELECT * FROM late_chunks").collect()} <= want
+
+
+def test_image_rotate():
+    image = np.arange(6).reshape(2, 3)
+    assert X.image_rotate(image, 0).tolist() == image.tolist()
+    assert X.image_rotate(image, 1).tolist() == [[3, 0], [4, 1], [5, 2]]
+    assert X.image_rotate(image, 2).tolist() == [[5, 4, 3], [2, 1, 0]]
+    assert X.image_rotate(X.image_rotate(image, 1), 3).tolist() == image.tolist()
+    assert X.image_rotate(np.zeros((2, 3, 4)), 1).shape == (3, 2, 4)
