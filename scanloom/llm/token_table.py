@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import forward_asof
 from .arrow import batch_of, row_groups
 from .encoder import default_tokenizer, encoder
 from .shared import bounded_batches, fresh_path, saved
@@ -36,6 +37,8 @@ MAGIC = b"SLTOKTB1"
 BLOCK_BYTES = 64 << 10
 FILE_BYTES = 8 << 20
 BLOOM_BITS, HASHES = 10, 7
+#: About how many ids a lookup sends at once.
+IDS_SENT = 1 << 18
 FOOTER = struct.Struct("<QQQQQ8s8sB7x8s")
 INDEX_ENTRY = struct.Struct("<8sQI")
 
@@ -78,8 +81,9 @@ def probes(keys: list[bytes], bits: int) -> np.ndarray:
 class TableWriter:
     """Builds one file in memory; ``width`` is 2 or 4 bytes for an id."""
 
-    def __init__(self, width: int = 2):
+    def __init__(self, width: int = 2, block_bytes: int | None = None):
         self.width, self.blocks, self.index, self.keys = width, [], [], []
+        self.most = BLOCK_BYTES if block_bytes is None else block_bytes
         self.block, self.last, self.size, self.tokens = [], b"", 0, 0
         self.block_bytes = 0
 
@@ -93,7 +97,7 @@ class TableWriter:
         self.block_bytes += len(entry)
         self.keys.append(key)
         self.last, self.tokens = key, self.tokens + len(ids)
-        if self.block_bytes >= BLOCK_BYTES:
+        if self.block_bytes >= self.most:
             self.end_block()
 
     def end_block(self) -> None:
@@ -152,19 +156,22 @@ class TableReader:
             yield from self.block(i)
 
     def get(self, doc_id: int) -> np.ndarray | None:
-        """The ids of a document, or None: filter, then binary search in the index, then one block."""
+        """The ids of a document, or None."""
+        return next(self.find(doc_id), None)
+
+    def find(self, doc_id: int) -> Iterator[np.ndarray]:
+        """The ids of each document of this key: filter, then binary search in the index, then the block or blocks."""
         key = key_bytes(doc_id)
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in probes([key], self.bits)[0].tolist()):
-            return None
+            return
         i = bisect_left(self.index, key, key=lambda e: e[0])
         while i < len(self.index):
             for found, ids in self.block(i):
                 if found == doc_id:
-                    return ids
+                    yield ids
             if self.index[i][0] != key:
                 break
-            i += 1  # a block that ends with documents without an identifier, whose last key reads as the least
-        return None
+            i += 1  # repeated keys, or a block that ends with documents without an identifier, whose last key reads as the least
 
 
 MANIFEST = "path string, part int, file int, n_docs long, n_tokens long, first_id long, last_id long"
@@ -177,6 +184,8 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     read back by scans and can't be looked up. An empty table gives no files. A task that is run again writes files of new names; only those of
     the attempt that ended are in the manifest, which is itself saved in the shared folder.
     """
+    # settings go to the tasks with the function
+    file_bytes, block_bytes = FILE_BYTES, BLOCK_BYTES
 
     def write(batches):
         context = TaskContext.get()
@@ -185,7 +194,7 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         system, inner = pafs.FileSystem.from_uri(folder)
         system.create_dir(inner, recursive=True)
         width = 2 if words.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
-        writer, file, done = TableWriter(width), 0, []
+        writer, file, done = TableWriter(width, block_bytes), 0, []
 
         def close():
             nonlocal writer, file
@@ -194,14 +203,14 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
                 with system.open_output_stream(f"{inner}/{name}") as out:
                     out.write(writer.bytes())
                 done.append((f"{folder}/{name}", part, file, len(writer.keys), writer.tokens, key_number(writer.keys[0]), key_number(writer.keys[-1])))
-            writer, file = TableWriter(width), file + 1
+            writer, file = TableWriter(width, block_bytes), file + 1
 
         for batch in row_groups(batches, "text", 1 << 20):
             ids, bounds = words.encode_column(batch.column("text"), end_id)
             ids, bounds = ids.astype(f"<u{width}"), bounds.tolist()
             for k, a, b in zip(batch.column("key").to_pylist(), bounds[:-1], bounds[1:], strict=True):
                 writer.add(k, ids[a:b])
-                if writer.size >= FILE_BYTES:
+                if writer.size >= file_bytes:
                     close()
         close()
         names = ["path", "part", "file", "n_docs", "n_tokens", "first_id", "last_id"]
@@ -234,6 +243,47 @@ def read_tables(manifest: DataFrame) -> DataFrame:
     return starts.repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def look_up(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``doc_id, ids`` of the documents that ``keys`` names: a row for each document of such a key, none for keys that no file has.
+
+    Repeated keys count once and null keys find nothing. The manifest says which file a key falls in; a task opens each of its files once and
+    goes by filter, index and block. A file holds some megabytes, so even a table whose keys are all asked for makes no large task.
+    """
+    sent = IDS_SENT
+
+    def read(batches):
+        path = reader = None
+        found: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for p, k in zip(batch.column("path").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if p != path:
+                    path, reader = p, TableReader(p)
+                for ids in reader.find(k):
+                    found.append((k, ids))
+                    size += len(ids)
+                    if size >= sent:
+                        yield looked_up(found)
+                        found, size = [], 0
+        if found:
+            yield looked_up(found)
+
+    wanted = keys.select(F.col(key).cast("long").alias("at")).where("at IS NOT NULL").distinct()
+    files = manifest.where("last_id IS NOT NULL").select(F.col("last_id").alias("at"), "part", "file", "path", "first_id")
+    first = forward_asof(wanted, files, "at", ["part", "file", "path", "first_id"]).where("r_at >= at AND (r_first_id IS NULL OR r_first_id <= at)")
+    # a key with many documents may go on in the next files, which then begin with it
+    more = wanted.join(files.select(F.col("first_id").alias("at"), "path"), "at")
+    places = first.select("at", F.col("r_path").alias("path")).unionByName(more).distinct().withColumnRenamed("at", "doc_id")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartition(tasks, "path").sortWithinPartitions("path", "doc_id").mapInArrow(read, "doc_id long, ids array<int>")
+
+
+def looked_up(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    bounds = np.cumsum([0, *(len(ids) for _, ids in found)]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([ids for _, ids in found]).astype(np.int32)))
+    return batch_of(doc_id=pa.array([k for k, _ in found], pa.int64()), ids=ids)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return read_tables(write_tables(docs, fresh_path(spark, "token-tables"), default_tokenizer(), end_id=0))

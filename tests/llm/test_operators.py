@@ -425,11 +425,34 @@ def test_token_tables_repeat_and_roll_over(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_table, "BLOCK_BYTES", 40)
     rows = [(1, "same words here")] * 5 + [(2, "other")]
     manifest = token_table.write_tables(frame(spark, rows), f"file://{tmp_path}/t", default_tokenizer(), 0)
+    assert manifest.count() == 1  # the documents of a key stay together, and these are few
     got = sorted(tuple(r) for r in token_table.read_tables(manifest).collect())
     assert [g[0] for g in got] == [1] * 5 + [2] and [g[1] for g in got] == list(np.cumsum([0] + [g[2] for g in got])[:-1])
     assert token_table.read_tables(token_table.write_tables(frame(spark, []), f"file://{tmp_path}/e", default_tokenizer(), 0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 5])
+def test_token_table_look_up(spark, ids, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(token_table, "FILE_BYTES", 100)
+    monkeypatch.setattr(token_table, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(token_table, "IDS_SENT", sent)
+    low = -(1 << 63)
+    rows = [(i, t) for i, t in zip([None, None, low, *range(-4, 3 * len(TEXTS), 3)], TEXTS)] + [(10_000, "same words here")] * 40 + [(10_001, None)]
+    manifest = token_table.write_tables(frame(spark, rows), f"file://{tmp_path}/t", default_tokenizer(), 0)
+    assert manifest.count() > 3
+    plain = Encoder(default_tokenizer())
+    wanted = [None, low, 5, 5, 6, 10_000, 10_001, 10_002, 10**12, -5]
+    keys = spark.createDataFrame([(k, "x") for k in wanted], "doc_id long, path string")
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in token_table.look_up(manifest, keys).collect())
+    asked = {k for k in wanted if k is not None}
+    assert got == sorted((k, (*encoded(plain, [t or ""])[0], 0)) for k, t in rows if k in asked)
+    every = token_table.look_up(manifest, frame(spark, rows))
+    assert every.count() == sum(k is not None for k, _ in rows)
+    assert token_table.look_up(manifest, frame(spark, [])).count() == 0
+    empty = token_table.write_tables(frame(spark, []), f"file://{tmp_path}/e", default_tokenizer(), 0)
+    assert token_table.look_up(empty, keys).count() == 0
+
+
 @pytest.mark.parametrize("block", [64 << 10, 8])
 def test_token_table_file_round_trip(tmp_path, monkeypatch, block):
     monkeypatch.setattr(token_table, "BLOCK_BYTES", block)
