@@ -47,12 +47,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def stretches(data: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def stretches(data: np.ndarray, least: int, segment: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, stretch hash, first window, number of windows, and place of the anchor in the first window."""
     gram = min(GRAM, least)
     found = []
-    for at in range(0, max(0, len(data) - least + 1), SEGMENT):
-        part = data[at : at + SEGMENT + least - 1]
+    for at in range(0, max(0, len(data) - least + 1), segment):
+        part = data[at : at + segment + least - 1]
         sums, places = prefix_hash(part), np.arange(len(part) - gram + 1)
         grams = span_hash(sums, places, places + gram)
         # the smallest hash, the leftmost of equals
@@ -73,6 +73,7 @@ def packed(first: np.ndarray, windows: np.ndarray, settled: np.ndarray | int) ->
 
 def all_stretches(docs: DataFrame, least: int) -> DataFrame:
     """A row ``(anchor, whole, doc_id, place)`` for each stretch; those equal to an earlier one of the batch are marked settled."""
+    segment = SEGMENT
 
     def run(batches):
         for batch in row_groups(batches, "text", 8 << 20):
@@ -82,7 +83,7 @@ def all_stretches(docs: DataFrame, least: int) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             again = np.concatenate(([False], ids[order[1:]] == ids[order[:-1]]))
             for i in order[~again]:  # rows that share an id are one document
-                anchor, whole, first, windows, _ = stretches(texts[i], least)
+                anchor, whole, first, windows, _ = stretches(texts[i], least, segment)
                 if len(first):
                     parts.append((anchor, whole, np.full(len(first), ids[i]), first, windows))
             if not parts:
