@@ -682,8 +682,9 @@ def snapped_normals(spark, sf_dir):
 
 @query("SELECT event_type, event_id // 2 AS pair, arg_max(event_id, value) AS kept FROM events GROUP BY ALL")
 def best_of_pair(spark, sf_dir):
-    """Of each two consecutive frames the sharper one."""
-    return table(spark, sf_dir, "events").groupBy("event_type", F.floor(F.col("event_id") / 2).alias("pair")).agg(F.max_by("event_id", "value").alias("kept"))
+    """Of each two consecutive frames the sharper one, the first of equals; a frame without a value is never kept."""
+    sharpness = F.when(F.col("value").isNotNull(), F.struct("value", F.bitwise_not("event_id")))
+    return table(spark, sf_dir, "events").groupBy("event_type", F.expr("event_id div 2").alias("pair")).agg(F.max_by("event_id", sharpness).alias("kept"))
 
 
 @query("""

@@ -42,6 +42,33 @@ def test_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
+def test_best_of_pair_takes_the_first_of_equals(spark, tmp_path):
+    nan, inf, far = math.nan, math.inf, 2**53
+    values = {
+        0: 5.0, 1: 5.0, 2: 1.0, 3: 2.0, 4: 2.0, 5: 1.0, 6: nan, 7: nan, 8: inf, 9: nan, 10: -0.0, 11: 0.0, 12: 0.0, 13: -0.0, 14: None, 15: -3.0, 16: -3.0, 17: None, 18: None, 19: None, 20: inf, 21: inf,
+        far: 1.0, far + 1: 2.0, far + 2: 4.0, far + 3: 4.0, 2**63 - 2: 7.0, 2**63 - 1: 7.0, -(2**63): 1.0, -(2**63) + 1: 1.0, -7: 1.0, -6: 1.0, -5: 3.0, -4: 3.0, -3: 4.0, -1: 5.0,
+    }
+    rows = [(i, k, values[i]) for i in sorted(values) for k in ("a", None)] + [(None, "a", 1.0), (30, "a", 2.0), (31, "b", 2.0)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    theirs = con.sql(f"SELECT event_type, pair, kept FROM ({catalog.ORACLES['best_of_pair']})").fetchall()
+    ours = [(r["event_type"], r["pair"], r["kept"]) for r in catalog.best_of_pair(spark, str(tmp_path)).collect()]
+    assert sorted(ours, key=str) == sorted(theirs, key=str)
+    kept = {(k, pair): i for k, pair, i in ours}
+    assert [kept["a", pair] for pair in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)] == [3, 4, 6, 9, 10, 12, 15, 16, None, 20]
+
+
+def test_best_of_pair_equals_sql_where_a_pair_ties(spark):
+    tables = "/root/testdata/sf0.1"
+    if not os.path.isdir(tables):
+        pytest.skip("no tables")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tables}/events.parquet'")
+    theirs = con.sql(f"SELECT event_type, pair, kept FROM ({catalog.ORACLES['best_of_pair']})").fetchall()
+    assert {tuple(r) for r in catalog.best_of_pair(spark, tables).select("event_type", "pair", "kept").collect()} == set(theirs)
+
+
 def test_greedy_match_is_the_plain_loop(spark):
     rows = catalog.room_overlaps(spark, SF).collect()
     a, b, want = set(), set(), set()
