@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 
 def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
@@ -54,3 +57,33 @@ def row_groups(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int =
 
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+
+
+@cache
+def malloc_trim() -> Callable[[int], int] | None:
+    """The C library's own, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed but holds on to: Arrow's pool and the C library's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := malloc_trim():
+        trim(0)
+
+
+def leaving_no_memory(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving its memory back at its end: workers live on, and would hold the most that any stage so far took."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return df.mapInArrow(leaving_no_memory(run), schema)

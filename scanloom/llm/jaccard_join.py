@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batch_of, byte_rows, laid_out, row_groups
+from .arrow import batch_of, byte_rows, laid_out, map_batches, row_groups
 from .shared import bounded_batches, connected_components, forget, saved
 from .textcore import NOT_SPACE, Words, gram_hashes, mix
 
@@ -110,7 +110,7 @@ def features(docs: DataFrame, words: int, percent: int) -> DataFrame:
             one, two = zip(*name, strict=True)
             yield batch_of(doc_id=batch.column("doc_id"), n=pa.array(n, pa.int32()), one=pa.array(one, pa.int64()), two=pa.array(two, pa.int64()), prefix=pa.array(prefix, pa.list_(pa.int64())))
 
-    return docs.mapInArrow(run, "doc_id long, n int, one long, two long, prefix array<long>")
+    return map_batches(docs, run, "doc_id long, n int, one long, two long, prefix array<long>")
 
 
 def last_shingles(found: DataFrame) -> np.ndarray:
@@ -152,7 +152,7 @@ def index_entries(docs: DataFrame, last: np.ndarray, words: int, percent: int) -
                 times = [len(x) for x in gram]
                 yield batch_of(gram=np.concatenate(gram).view(np.int64), one=np.repeat(np.array(one, np.int64), times), n=np.repeat(np.array(size, np.int32), times), pos=np.concatenate(pos))
 
-    return docs.select("text").mapInArrow(run, "gram long, one long, n int, pos int")
+    return map_batches(docs.select("text"), run, "gram long, one long, n int, pos int")
 
 
 def complete_groups(batches, keys: int, most: int | None = None):
@@ -239,7 +239,7 @@ def shared_entries(entries: DataFrame, percent: int) -> DataFrame:
             yield batch_of(head=head, head_n=head_n.astype(np.int32), one=one, n=n.astype(np.int32))
 
     ordered = entries.repartition("gram").sortWithinPartitions("gram", "n", "pos", "one")
-    return ordered.mapInArrow(run, "head long, head_n int, one long, n int").distinct()
+    return map_batches(ordered, run, "head long, head_n int, one long, n int").distinct()
 
 
 def sketched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -252,7 +252,7 @@ def sketched(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             yield batch_of(node=batch.column("doc_id"), sketch=pa.array(found, pa.binary()), text=batch.column("text"))
 
     mine = docs.join(F.broadcast(nodes) if small else nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text")
-    return saved(mine.mapInArrow(run, "node long, sketch binary, text string"), "texts")
+    return saved(map_batches(mine, run, "node long, sketch binary, text string"), "texts")
 
 
 def sketch_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -287,7 +287,7 @@ def star_pairs(families: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                 fits = within(sketch_rows(batch.column(4)), sketch_rows(batch.column(5)), n, m, percent) >= 0
                 yield batch.select([0, 2]).filter(pa.array(fits))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "n", "b", "m", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+    return map_batches(pairs.join(one, "a").join(two, "b").select("a", "n", "b", "m", "sketch_a", "sketch_b"), run, "a long, b long")
 
 
 def cross_pairs(families: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -359,7 +359,7 @@ def cross_pairs(families: DataFrame, labels: DataFrame, sketches: DataFrame, per
             yield distinct()
 
     order = ["head", "first", "second"]
-    return dealt.repartition(*order).sortWithinPartitions(*order, "n", "node").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(dealt.repartition(*order).sortWithinPartitions(*order, "n", "node"), run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
@@ -382,7 +382,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name:
                     right.append(b)
             yield batch_of(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
 
-    return saved(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), f"{name}-links")
+    return saved(map_batches(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long"), f"{name}-links")
 
 
 def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

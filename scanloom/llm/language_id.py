@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batch_of, row_groups
+from .arrow import batch_of, map_batches, row_groups
 from .shared import bounded_batches
 from .textcore import word_hashes
 
@@ -141,7 +141,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     if len(keys):
                         yield batch_of(lang=pa.array([lang] * len(keys), pa.string()), size=np.full(len(keys), n, np.int32), gram=keys.view(np.int64), count=count)
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, count long").groupBy("lang", "size", "gram").agg(F.sum("count").alias("count"))
+    return map_batches(labelled.select("lang", "text"), run, "lang string, size int, gram long, count long").groupBy("lang", "size", "gram").agg(F.sum("count").alias("count"))
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in own), "lang_pred string, score double"])
-    return docs.select(*own).mapInArrow(run, schema)
+    return map_batches(docs.select(*own), run, schema)
 
 
 def held_out(key: Column) -> Column:

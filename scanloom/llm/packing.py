@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrow import batch_of, row_groups
+from .arrow import batch_of, map_batches, row_groups
 from .encoder import default_tokenizer, encoder
 from .shared import bounded_batches
 
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, key
         yield from packer.taken()
 
     bounded_batches(docs.sparkSession)
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")), run, SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

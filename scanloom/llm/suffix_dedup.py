@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import batch_of, byte_rows, row_groups
+from .arrow import batch_of, byte_rows, map_batches, row_groups
 from .shared import bounded_batches, saved
 from .textcore import mix, prefix_hash, span_hash
 
@@ -96,7 +96,7 @@ def all_stretches(docs: DataFrame, least: int) -> DataFrame:
             a = np.where(again, mix(d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + f.astype(np.uint64)), a)
             yield batch_of(anchor=a.view(np.int64), whole=w.view(np.int64), doc_id=d, place=packed(f, windows[order], again.astype(np.int64)))
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(run, "anchor long, whole long, doc_id long, place long")
+    return map_batches(docs.where("doc_id IS NOT NULL"), run, "anchor long, whole long, doc_id long, place long")
 
 
 def settled_stretches(rows: DataFrame) -> DataFrame:
@@ -137,7 +137,12 @@ def settled_stretches(rows: DataFrame) -> DataFrame:
             yield batch_of(anchor=pa.array([held[0]], pa.int64()), doc_id=pa.array([held[2]], pa.int64()), place=pa.array([held[3]], pa.int64()))
 
     ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc_id", "place")
-    return ordered.mapInArrow(run, "anchor long, doc_id long, place long")
+    return map_batches(ordered, run, "anchor long, doc_id long, place long")
+
+
+def windows_at(data: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
+    """A row of ``least`` bytes for each place, without an index for each byte."""
+    return np.lib.stride_tricks.sliding_window_view(data, least)[places]
 
 
 class SuffixFamily:
@@ -211,7 +216,7 @@ def earlier_windows(rows: DataFrame, least: int) -> DataFrame:
         count = sizes - least + 1
         row = np.repeat(np.arange(len(data)), count)
         step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        seen = family.add(joined[(starts[row] + step)[:, None] + np.arange(least)])
+        seen = family.add(windows_at(joined, starts[row] + step, least))
         edge = np.flatnonzero(np.diff(np.concatenate(([0], seen.view(np.int8), [0]))))
         begin, end = edge[::2], edge[1::2]
         if not len(begin):
@@ -224,7 +229,7 @@ def earlier_windows(rows: DataFrame, least: int) -> DataFrame:
         yield batch_of(doc_id=doc[row[begin]], start=first[row[begin]] + step[begin], end=first[row[end]] + step[end] + least)
 
     ordered = rows.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "doc_id", "first")
-    return ordered.mapInArrow(run, "doc_id long, start long, end long")
+    return map_batches(ordered, run, "doc_id long, start long, end long")
 
 
 def repeated_intervals(docs: DataFrame, least: int) -> DataFrame:
@@ -253,7 +258,7 @@ def repeated_intervals(docs: DataFrame, least: int) -> DataFrame:
                 yield batch_of(anchor=pa.array(anchor, pa.int64()), deal=pa.array(deal, pa.int64()), doc_id=pa.array(doc, pa.int64()), first=pa.array(first, pa.int64()), data=pa.array(data, pa.binary()))
 
     # a left join of the same columns, here and where the bytes are removed, so that both read one shuffle of the texts
-    texts = docs.join(wanted, "doc_id", "left").select(*docs.columns, "wanted").mapInArrow(read, "anchor long, deal long, doc_id long, first long, data binary")
+    texts = map_batches(docs.join(wanted, "doc_id", "left").select(*docs.columns, "wanted"), read, "anchor long, deal long, doc_id long, first long, data binary")
     return whole.union(earlier_windows(texts, least))
 
 
@@ -286,7 +291,7 @@ def with_kept(docs: DataFrame, least: int, carry: bool) -> DataFrame:
 
     types = dict(docs.dtypes)
     schema = ", ".join(["doc_id long", REPORT, *(f"`{c}` {types[c]}" for c in others), *["kept string"] * carry])
-    return docs.join(by_doc, "doc_id", "left").select(*docs.columns, "cut").mapInArrow(run, schema)
+    return map_batches(docs.join(by_doc, "doc_id", "left").select(*docs.columns, "cut"), run, schema)
 
 
 def repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:

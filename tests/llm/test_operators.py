@@ -1,6 +1,7 @@
 """Each operator against a plain version, on ordinary rows and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import os
+import tracemalloc
 import zlib
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.llm import decontaminate, html_text, jaccard_join, language_id, metric_join, packing, sharding, suffix_dedup, token_table, url_filter
+from scanloom.llm import arrow, decontaminate, html_text, jaccard_join, language_id, metric_join, packing, sharding, suffix_dedup, token_table, url_filter
 from scanloom.llm.encoder import Encoder, default_tokenizer
 
 DOCS = "doc_id long, text string"
@@ -338,6 +339,59 @@ def test_suffix_dedup_of_repeated_rows(spark, corpus, monkeypatch, settings):
         assert len(got) == len(rows) and all(tuple(r)[1:] == want[r["doc_id"]] for r in got)
 
 
+def test_suffix_windows_need_little_besides_themselves():
+    """An index for each byte of each window took eight times the windows; workers held it in the pipeline's fullest stage."""
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(97, 123, 180, dtype=np.uint8).tobytes() for _ in range(500)]
+    rows += rows[:20]
+    batch = pa.RecordBatch.from_pydict(
+        {"anchor": [1] * len(rows), "deal": [0] * len(rows), "doc_id": list(range(len(rows))), "first": [7] * len(rows), "data": rows},
+        pa.schema([(c, pa.int64()) for c in ("anchor", "deal", "doc_id", "first")] + [("data", pa.binary())]),
+    )
+
+    class Captured:
+        """Stands for the table, and hands over the function of the tasks."""
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = suffix_dedup.earlier_windows(Captured(), 100)
+    tracemalloc.start()
+    found = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(tuple(r.values()) for x in found for r in x.to_pylist()) == [(i, 7, 187) for i in range(500, 520)]
+    assert peak < 6 * len(rows) * 81 * 100
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGESIZE")
+
+
+def test_tasks_leave_no_memory():
+    """What a task freed below something that lives on stayed with the worker for the stages after it."""
+    pins = []
+
+    def run(batches):
+        held = [np.ones(4000) for _ in range(8000)]  # 256 MB in pieces that come from the heap
+        pins.append(np.ones(4000))
+        yield from batches
+        del held
+
+    def used(task):
+        before = resident()
+        list(task(iter([])))
+        return resident() - before
+
+    assert used(arrow.leaving_no_memory(run)) < 64 << 20
+
+
 def test_suffix_family_merges_levels():
     family = suffix_dedup.SuffixFamily(8)
     rng = np.random.default_rng(0)
